@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from azanami.llm import dups, leaks
+from azanami.llm import dups, leaks, match, packing, plain, subjects
 from azanami.runtime import table
 
 _KEY = ("array_to_string(list_sort(list_distinct(list_filter(["
@@ -16,6 +16,32 @@ iw AS (SELECT DISTINCT item_id, array_to_string(t[k:k+15], ' ') AS g FROM (SELEC
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
 
 
+def _towns(spark, d):
+    t = lambda n: table(spark, d, n)
+    return match.station_towns(t("station"), t("mt_town_all"), t("city"), t("dict_entry"), t("mt_town_pos"))
+
+
+def p1_found(spark, d):
+    return _towns(spark, d).select("station_code", "lg_code", "oaza_no")
+
+
+def p1_confidence(spark, d):
+    return _towns(spark, d)
+
+
+def _fields(spark, d):
+    towns = table(spark, d, "mt_town_all")
+    return {"mt_town_all": (towns, "row_id", ["oaza_cho"]), "dict_entry": (table(spark, d, "dict_entry"), "entry_id", ["key", "kana"])}, [(towns, "chome"), (towns, "koaza")]
+
+
+def p2_found(spark, d):
+    return plain.deviating(*_fields(spark, d))
+
+
+def p2_plain(spark, d):
+    return plain.plain_fields(*_fields(spark, d))
+
+
 def p3_found(spark, d):
     return dups.copies(table(spark, d, "mt_town_all"))
 
@@ -32,9 +58,23 @@ def p8_spans(spark, d):
     return leaks.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p7_pack(spark, d):
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p9_found(spark, d):
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_label"), table(spark, d, "subject_area"))
+
+
 QUERIES = {
+    "p1_found": (p1_found, None),
+    "p1_confidence": (p1_confidence, None),
+    "p2_found": (p2_found, None),
+    "p2_plain": (p2_plain, None),
     "p3_found": (p3_found, f"WITH k AS (SELECT row_id, {_KEY} AS key FROM mt_town_all), g AS (SELECT key, min(row_id) AS keep_id FROM k WHERE key <> '' GROUP BY key) SELECT keep_id, row_id AS copy_id FROM k JOIN g USING (key) WHERE row_id <> keep_id"),
     "p3_entries": (p3_entries, f"WITH k AS (SELECT row_id, {_KEY} AS key FROM mt_town_all) SELECT min(row_id) AS keep_id, count(*) AS n_copies FROM k WHERE key <> '' GROUP BY key"),
     "p8_found": (p8_found, _P8),
+    "p7_pack": (p7_pack, None),
     "p8_spans": (p8_spans, None),
+    "p9_found": (p9_found, None),
 }
