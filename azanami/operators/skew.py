@@ -27,8 +27,8 @@ def aggregate_by_key(df: DataFrame, keys: list[str], **states: Column) -> DataFr
     return df.groupBy(*keys).agg(*(c.alias(n) for n, c in states.items()))
 
 
-def attach_by_key(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int | None = None, slices: int = SLICES) -> DataFrame:
-    """Inner join of many rows to one row per key.
+def attach_by_key(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int | None = None, slices: int = SLICES, how: str = "inner") -> DataFrame:
+    """Join of many rows to one row per key, inner or left.
 
     ``per_key`` has key once per value, and in ``n`` the number of rows of that key.  ``total``: number of all
     rows, counted from ``per_key`` if not given.  Null keys match nothing.
@@ -40,7 +40,7 @@ def attach_by_key(rows: DataFrame, per_key: DataFrame, key: str, n: str, total:
     heavy = heavy.withColumn("_heavy", F.lit(True))
     tagged = rows.join(F.broadcast(heavy), key, "left")
     hot = tagged.where(F.col("_heavy")).drop("_heavy")
-    cold = tagged.where(F.col("_heavy").isNull()).select(*rows.columns).join(light, key)
+    cold = tagged.where(F.col("_heavy").isNull()).select(*rows.columns).join(light, key, how)
     return hot.unionByName(cold)
 
 
