@@ -34,50 +34,41 @@ def marginals(pairs: DataFrame, one_to_one: bool = True, coupling: float = COUPL
     """(l, r, p): the probability that l and r are the same, for every candidate pair.
 
     pairs: (l, g, r, w), w the log odds of the pair against "none", g the group of l or null.  Each pair once.  With one_to_one
-    a right record has at most one partner as well.  An empty table gives no rows.
+    a right record has at most one partner as well.  A left record's own candidates are compared in one window, so they
+    must be few, as its blocking keys make them; right records and groups may be of any size.  An empty table gives no rows.
     """
     stage = Stage(pairs.sparkSession, "beliefs")
-    state, old = stage.write(pairs.select("l", "g", "r", F.col("w").cast("double").alias("w"), F.lit(0.0).alias("up"), F.lit(0.0).alias("p")), "s0")
-
-    def sums(df: DataFrame, by: list[str], of: Column, name: str) -> DataFrame:
-        return df.groupBy(*by).agg(F.sum(of).alias(name), F.count(F.lit(1)).alias("_n"))
-
+    state, old = stage.write(pairs.select("l", "r", F.when(F.col("g").isNotNull(), F.concat_ws("\u0001", "g", "r")).otherwise(F.concat_ws("\u0002", "l", "r")).alias("gr"), F.col("w").cast("double").alias("w"), F.lit(0.0).alias("up"), F.lit(0.0).alias("p")), "s0")
+    total = state.count()
+    own = Window.partitionBy("l")
     for _ in range(max_rounds):
         # left factors: odds of each pair against the left record's other values, in logs about the greatest
-        top = state.groupBy("l").agg(F.greatest(F.max(F.col("w") + F.col("up")), F.lit(0.0)).alias("_top"), F.count(F.lit(1)).alias("_n"))
-        cur = attach_by_key(state, top, "l", "_n").drop("_n").withColumn("_e", F.exp(F.col("w") + F.col("up") - F.col("_top")))
-        cur = stage.keep(cur, "e")
-        z = sums(cur, ["l"], F.col("_e"), "_z")
-        cur = attach_by_key(cur, z, "l", "_n").drop("_n")
-        others = F.greatest(F.col("_z") - F.col("_e"), F.lit(0.0)) + F.exp(-F.col("_top"))
-        new_p = F.col("_e") / (others + F.col("_e"))
-        cur = cur.select("l", "g", "r", "w", "up", new_p.alias("p"), F.abs(new_p - F.col("p")).alias("_d"), (F.col("w") - F.log(others) - F.col("_top")).alias("_down"))
-        cur = stage.keep(cur, "d")
+        cur = state.withColumn("_top", F.greatest(F.max(F.col("w") + F.col("up")).over(own), F.lit(0.0)))
+        cur = cur.withColumn("_e", F.exp(F.col("w") + F.col("up") - F.col("_top")))
+        cur = cur.withColumn("_o", F.greatest(F.sum("_e").over(own) - F.col("_e"), F.lit(0.0)) + F.exp(-F.col("_top")))
+        cur = cur.withColumns({"_p": F.col("_e") / (F.col("_o") + F.col("_e")), "_down": F.col("w") - F.log("_o") - F.col("_top")})
+        cur, half = stage.write(cur.select("l", "r", "gr", "w", "up", F.col("_p").alias("p"), F.abs(F.col("_p") - F.col("p")).alias("_d"), F.exp(F.least(F.col("_down"), F.lit(50.0))).alias("_f"), F.log1p(F.lit(float(coupling)) * F.col("_p")).alias("_q")), "left")
+        if (cur.agg(F.max("_d")).first()[0] or 0.0) <= tolerance:
+            state = cur
+            break
+        up = F.lit(0.0)
         # right factors: how far the other left records leave r free
         if one_to_one:
-            cur = cur.withColumn("_f", F.exp(F.least(F.col("_down"), F.lit(50.0))))
-            s = sums(cur, ["r"], F.col("_f"), "_s")
-            cur = attach_by_key(cur, s, "r", "_n").drop("_n")
-            up = -F.log1p(F.greatest(F.col("_s") - F.col("_f"), F.lit(0.0)))
-        else:
-            up = F.lit(0.0)
+            s = cur.groupBy("r").agg(F.sum("_f").alias("_s"), F.count(F.lit(1)).alias("_n"))
+            cur = attach_by_key(cur, s, "r", "_n", total).drop("_n")
+            up = up - F.log1p(F.greatest(F.col("_s") - F.col("_f"), F.lit(0.0)))
         # group factors: support from the group's other records
         if coupling > 0:
-            cur = cur.withColumn("_q", F.log1p(F.lit(float(coupling)) * F.col("p")))
-            grouped = stage.keep(cur.withColumn("_gr", F.when(F.col("g").isNotNull(), F.concat_ws("\u0001", "g", "r"))), "g")
-            t = sums(grouped.where("_gr is not null"), ["_gr"], F.col("_q"), "_t").where("_n > 1")
-            backed = attach_by_key(grouped, t, "_gr", "_n").drop("_n")
-            alone = grouped.join(t.select("_gr"), "_gr", "left_anti").withColumn("_t", F.col("_q"))
-            cur = backed.unionByName(alone.select(*backed.columns))
-            up = up + F.least(F.col("_t") - F.col("_q"), F.lit(20.0))
-        nxt, path = stage.write(cur.select("l", "g", "r", "w", ((F.col("up") + up) / 2 if one_to_one else up).alias("up"), "p", "_d"), "s")
-        moved = nxt.agg(F.max("_d")).first()[0]
+            t = cur.groupBy("gr").agg(F.sum("_q").alias("_t"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+            cur = attach_by_key(cur, t, "gr", "_n", total, how="left").drop("_n")
+            up = up + F.least(F.coalesce(F.col("_t") - F.col("_q"), F.lit(0.0)), F.lit(20.0))
+        nxt, path = stage.write(cur.select("l", "r", "gr", "w", ((F.col("up") + up) / 2 if one_to_one else up).alias("up"), "p"), "s")
         stage.drop(old)
-        state, old = nxt.drop("_d"), path
-        if moved is None or moved <= tolerance:
-            break
+        stage.drop(half)
+        state, old = nxt, path
     return state.select("l", "r", "p")
 
+
 def register(towns: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """(lg_code, oaza_no, axis, name): the names under which a town may be written; axis 0 for spellings, 1 for readings.
 
