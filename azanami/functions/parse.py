@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from azanami.functions.text import DASHES, arabic_numerals, nfkc, strip_separator
+from azanami.functions.text import DASHES, arabic_numerals, let, nfkc, strip_separator
 
 #: Three numbers make an address; what follows them is a room.
 MAX_TOKENS = 3
@@ -19,17 +19,21 @@ TOKENS = "array<struct<value:bigint,unit:string>>"
 
 def parse_tail_of_nfkc(s: Column) -> Column:
     """struct(tokens, building) of text that is NFKC already; building is null if there is none."""
-    s = F.regexp_replace(arabic_numerals(s), r"(?U)\s", "")
-    run = F.regexp_extract(s, _RUN, 1)
-    numbers = F.regexp_extract_all(run, F.lit("([0-9]+)(丁目|丁|番地|番|号|条|地割)?"), F.lit(1))
-    words = F.regexp_extract_all(run, F.lit("([0-9]+)(丁目|丁|番地|番|号|条|地割)?"), F.lit(2))
+    text = F.regexp_replace(arabic_numerals(s), r"(?U)\s", "")
+    pattern = F.lit("([0-9]+)(丁目|丁|番地|番|号|条|地割)?")
     names = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))
-    tokens = F.zip_with(numbers, words, lambda n, w: F.struct(n.try_cast("long").alias("value"), F.when(w != "", names[w]).alias("unit")))
-    tokens = F.filter(tokens, lambda t: t["value"].isNotNull())
-    over = F.array_join(F.transform(F.filter(tokens, lambda t, i: i >= MAX_TOKENS), lambda t: t["value"].cast("string")), "-")
-    after = F.concat(over, F.substring(s, F.length(run) + 1, 1 << 30))
-    building = F.trim(strip_separator(after))
-    return F.struct(F.slice(tokens, 1, MAX_TOKENS).cast(TOKENS).alias("tokens"), F.when(building != "", building).alias("building"))
+
+    def scan(t: Column) -> Column:
+        run = F.regexp_extract(t, _RUN, 1)
+        tokens = F.zip_with(F.regexp_extract_all(run, pattern, F.lit(1)), F.regexp_extract_all(run, pattern, F.lit(2)), lambda n, w: F.struct(n.try_cast("long").alias("value"), F.when(w != "", names[w]).alias("unit")))
+        return F.struct(F.filter(tokens, lambda x: x["value"].isNotNull()).alias("tokens"), F.substring(t, F.length(run) + 1, F.length(t)).alias("after"))
+
+    def split(x: Column) -> Column:
+        over = F.array_join(F.transform(F.filter(x["tokens"], lambda t, i: i >= MAX_TOKENS), lambda t: t["value"].cast("string")), "-")
+        building = F.trim(strip_separator(F.concat(over, x["after"])))
+        return F.struct(F.slice(x["tokens"], 1, MAX_TOKENS).cast(TOKENS).alias("tokens"), F.when(building != "", building).alias("building"))
+
+    return let(let(text, scan), split)
 
 
 def parse_tail(s: Column) -> Column:

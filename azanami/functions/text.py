@@ -1,12 +1,14 @@
 """Comparable keys of Japanese place names and address strings, as column expressions.
 
-Only NFKC needs Python (Spark has no such function); it runs as one Arrow-batched UDF that returns ASCII text as it is.
-All else stays in the JVM: ``translate`` for single letters, regular expressions with lookaround for what depends on the
-neighbours, and higher-order functions for numerals.
+NFKC needs Python (Spark has no such function), so keys of raw text are made whole in one Arrow-batched UDF: the rows make
+the way to Python and back once.  For text that is NFKC already the same steps exist as JVM expressions (``..._of_nfkc``):
+``translate`` for single letters, regular expressions with lookaround for what depends on the neighbours, and higher-order
+functions for numerals.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -49,6 +51,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
+def let(c: Column, then) -> Column:
+    """then(c) with c computed once, however often ``then`` mentions it."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
 def strip_noise(s: Column) -> Column:
     """Without white space and the separators that carry no meaning in an address."""
     return F.regexp_replace(s, _NOISE, "")
@@ -76,18 +83,25 @@ def kanji_to_number(s: Column) -> Column:
             F.struct((acc["total"] + F.when(acc["cur"] == 0, 1).otherwise(acc["cur"]) * unit).alias("total"), F.lit(0).cast("long").alias("cur"))
         )
 
-    by_place = F.aggregate(F.split(s, ""), start, step, lambda a: a["total"] + a["cur"])
-    plain = F.translate(s, _DIGIT_FROM, _DIGIT_TO).try_cast("long")
-    return F.when(s.rlike(f"^[{_NUMERALS}]+$"), F.when(s.rlike("[十百千]"), by_place).otherwise(plain))
+    def value(r: Column) -> Column:
+        by_place = F.aggregate(F.split(r, ""), start, step, lambda a: a["total"] + a["cur"])
+        plain = F.translate(r, _DIGIT_FROM, _DIGIT_TO).try_cast("long")
+        return F.when(r.rlike(f"^[{_NUMERALS}]+$"), F.when(r.rlike("[十百千]"), by_place).otherwise(plain))
+
+    return let(s, value)
 
 
 def arabic_numerals(s: Column) -> Column:
     """Every run of kanji numerals as Arabic digits, inside names too: keys must agree, not read well."""
-    runs = F.regexp_extract_all(s, F.lit(f"([{_NUMERALS}]+)"), F.lit(1))
-    between = F.split(s, f"[{_NUMERALS}]+", -1)
-    number = lambda r: F.coalesce(kanji_to_number(r).cast("string"), r)
-    joined = F.array_join(F.zip_with(between, F.transform(runs, number), lambda b, n: F.concat(b, F.coalesce(n, F.lit("")))), "")
-    return F.when(s.rlike(f"[{_NUMERALS}]"), joined).otherwise(s)
+
+    def replaced(t: Column) -> Column:
+        runs = F.regexp_extract_all(t, F.lit(f"([{_NUMERALS}]+)"), F.lit(1))
+        between = F.split(t, f"[{_NUMERALS}]+", -1)
+        number = lambda r: F.coalesce(kanji_to_number(r).cast("string"), r)
+        joined = F.array_join(F.zip_with(between, F.transform(runs, number), lambda b, n: F.concat(b, F.coalesce(n, F.lit("")))), "")
+        return F.when(t.rlike(f"[{_NUMERALS}]"), joined).otherwise(t)
+
+    return let(s, replaced)
 
 
 def key_of_nfkc(s: Column) -> Column:
@@ -95,18 +109,56 @@ def key_of_nfkc(s: Column) -> Column:
     return arabic_numerals(unify_interstitial(unify_variants(strip_noise(s))))
 
 
-def to_key(s: Column) -> Column:
-    """The key by which names are looked up: NFKC, no separators, current letters, one spelling of ケ and ノ, Arabic digits."""
-    return key_of_nfkc(nfkc(s))
+_PY_HAN = "⺀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-龎\U00020000-\U000323af"
+_PY_NOISE = re.compile(r"[\s\ufeff,、，．.·・･]")
+_PY_VARIANTS = str.maketrans(VARIANT_FROM, VARIANT_TO)
+_PY_SMALL = re.compile(f"(?s)(?<=.)[{_ALWAYS_KE}](?=.)")
+_PY_KE, _PY_NO = (re.compile(f"(?<=[{_PY_HAN}0-9])[{x}](?=[{_PY_HAN}0-9])") for x in (_KE, _NO))
+_PY_NUMERALS = re.compile(f"[{_NUMERALS}]+")
+_PY_DIGIT = dict(zip(_DIGIT_FROM, map(int, _DIGIT_TO)))
+_PY_UNIT = {"十": 10, "百": 100, "千": 1000}
+
+
+def _numeral(m: re.Match) -> str:
+    run = m.group()
+    if not any(c in _PY_UNIT for c in run):
+        return str(int("".join(str(_PY_DIGIT[c]) for c in run)))
+    total = cur = 0
+    for c in run:
+        if c in _PY_DIGIT:
+            cur = cur * 10 + _PY_DIGIT[c]
+        else:
+            total, cur = total + (cur or 1) * _PY_UNIT[c], 0
+    return str(total + cur)
+
+
+def key_text(v: str | None, unify: bool = True) -> str | None:
+    """The key of one text."""
+    if v is None:
+        return None
+    t = _PY_NOISE.sub("", v if v.isascii() else unicodedata.normalize("NFKC", v))
+    if t.isascii():
+        return t
+    t = t.translate(_PY_VARIANTS)
+    if unify:
+        t = _PY_NO.sub("ノ", _PY_KE.sub("ケ", _PY_SMALL.sub("ケ", t)))
+    return _PY_NUMERALS.sub(_numeral, t)
 
 
-def exact_key_of_nfkc(s: Column) -> Column:
-    return arabic_numerals(unify_variants(strip_noise(s)))
+@F.pandas_udf(StringType())
+def to_key(s: pd.Series) -> pd.Series:
+    """The key by which names are looked up: NFKC, no separators, current letters, one spelling of ケ and ノ, Arabic digits."""
+    return s.map(key_text)
 
 
-def to_exact_key(s: Column) -> Column:
+@F.pandas_udf(StringType())
+def to_exact_key(s: pd.Series) -> pd.Series:
     """As ``to_key`` but ケ and ノ as written: tells apart names that share a key."""
-    return exact_key_of_nfkc(nfkc(s))
+    return s.map(lambda v: key_text(v, False))
+
+
+def exact_key_of_nfkc(s: Column) -> Column:
+    return arabic_numerals(unify_variants(strip_noise(s)))
 
 
 def hiragana(s: Column) -> Column:
@@ -118,9 +170,15 @@ def kana_key_of_nfkc(s: Column) -> Column:
     return F.translate(s, _FOLD_FROM + _DROPPED_IN_READINGS + _ALWAYS_KE, _FOLD_TO)  # letters beyond the second list are deleted
 
 
-def to_kana_key(s: Column) -> Column:
+_PY_KANA = str.maketrans({**dict(zip(_KATAKANA, _HIRAGANA)), **dict.fromkeys(_DROPPED_IN_READINGS + _ALWAYS_KE + "ゕゖ")})
+_PY_FOLD = str.maketrans(_FOLD_FROM, _FOLD_TO)
+_PY_SPACE = re.compile(r"[\s\ufeff]")
+
+
+@F.pandas_udf(StringType())
+def to_kana_key(s: pd.Series) -> pd.Series:
     """Key of a reading: hiragana, no long-vowel marks, small and archaic kana as plain ones, voicing kept."""
-    return kana_key_of_nfkc(nfkc(s))
+    return s.map(lambda v: v if v is None else _PY_SPACE.sub("", unicodedata.normalize("NFKC", v)).translate(_PY_KANA).translate(_PY_FOLD))
 
 
 def loosen(kana_key: Column) -> Column:

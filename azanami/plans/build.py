@@ -15,6 +15,7 @@ from azanami.functions.names import CHOME, expand_aliases
 from azanami.functions.text import base_name, chome_display, chome_number, half_digits, to_exact_key, to_kana_key, to_key, town_name
 from azanami.operators.order import first_wins, last_wins, mode_by
 from azanami.operators.prefix import prefix_hits
+from azanami.runtime import Stage
 
 def _empty() -> Column:
     return F.lit("")
@@ -79,10 +80,11 @@ def place_towns(mt_town: DataFrame, mt_town_pos: DataFrame, isj: DataFrame | Non
     if isj is not None:
         i = with_order(isj).select(F.col("city5").alias("_c5"), to_key(F.col("name")).alias("_k"), finite(F.col("lat")).alias("lat"), finite(F.col("lng")).alias("lng"), "ord").where("lat is not null and lng is not null")
         i = last_wins(i, ["_c5", "_k"], "ord").drop("ord")
+        for tag, key in (("_i", "_own"), ("_j", "_up"), ("_o", "_oaza")):
+            t = t.join(i.withColumnsRenamed({"_k": key, "lat": f"{tag}lat", "lng": f"{tag}lng"}), ["_c5", key], "left")
     else:
-        i = t.sparkSession.createDataFrame([], "_c5 string, _k string, lat double, lng double")
-    for tag, key in (("_i", "_own"), ("_j", "_up"), ("_o", "_oaza")):
-        t = t.join(i.withColumnsRenamed({"_k": key, "lat": f"{tag}lat", "lng": f"{tag}lng"}), ["_c5", key], "left")
+        t = t.withColumns({f"{tag}{x}": F.lit(None).cast("double") for tag in ("_i", "_j", "_o") for x in ("lat", "lng")})
+    t = Stage(t.sparkSession, "place").keep(t, "keys")
     t = t.withColumns({"_slat": F.coalesce("_alat", "_ilat"), "_slng": F.coalesce("_alng", "_ilng")})
     up = first_wins(t.where("_slat is not null").select("lg_code", "_up", F.col("_slat").alias("_plat"), F.col("_slng").alias("_plng"), "ord"), ["lg_code", "_up"], "ord").drop("ord")
     t = t.join(up, ["lg_code", "_up"], "left")

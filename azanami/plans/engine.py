@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from azanami.functions.geo import accuracy_of_scale
 from azanami.functions.names import prefecture_keys, prefectures
 from azanami.functions.parse import assign_ban_go, assign_parcel, parse_tail_of_nfkc
-from azanami.functions.text import exact_key_of_nfkc, kana_key_of_nfkc, key_of_nfkc, nfkc, strip_separator, town_name
+from azanami.functions.text import kana_key_of_nfkc, strip_separator, to_exact_key, to_key, town_name
 from azanami.operators.knn import nearest_stations
 from azanami.operators.prefix import explains, fuzzy_prefix, prefix_hits, rest_after_kana, unguarded
 from azanami.operators.small import join_small
@@ -193,8 +193,8 @@ class GeoEngine:
         Null and empty addresses, and those that name nothing known, have no rows.  Each id should be given once.
         """
         stage = Stage(self.spark, "geocode")
-        a = addresses.select(F.col(ident).alias("id"), nfkc(F.col(address).cast("string")).alias("_n")).where("_n is not null")
-        a = a.select("id", key_of_nfkc(F.col("_n")).alias("key"), exact_key_of_nfkc(F.col("_n")).alias("exact_key")).where("key <> ''")
+        a = addresses.select(F.col(ident).alias("id"), F.col(address).cast("string").alias("_n")).where("_n is not null")
+        a = a.select("id", to_key(F.col("_n")).alias("key"), to_exact_key(F.col("_n")).alias("exact_key")).where("key <> ''")
         a = stage.keep(self.strip_pref(a), "prefs")
         hits = stage.keep(self.city_hits(a), "hits")
         out = self._from_cities(a, hits)

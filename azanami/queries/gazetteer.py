@@ -11,7 +11,7 @@ from azanami.operators.knn import nearest_stations
 from azanami.operators.skew import aggregate_by_key, plain_code
 from azanami.plans import build, directory, quality
 from azanami.plans.engine import GeoEngine, Tables, lookup_number, lookup_parcel
-from azanami.runtime import table
+from azanami.runtime import Stage, table
 
 Q: dict = {}
 
@@ -214,8 +214,9 @@ def parcel_lookup(spark, d):
 def _engine(spark, d) -> GeoEngine:
     t = lambda n: table(spark, d, n)
     placed = build.place_towns(t("mt_town_all").withColumn("ord", F.col("row_id")), t("mt_town_pos"))
-    placed = order.first_wins(placed, ["lg_code", "machiaza_id", "oaza_cho", "chome", "koaza"], "ord")
-    keys, kana = build.build_towns(placed)
+    stage = Stage(spark, "index")  # built once, read by every step of the lookup
+    placed = stage.keep(order.first_wins(placed, ["lg_code", "machiaza_id", "oaza_cho", "chome", "koaza"], "ord"), "placed")
+    keys, kana = (stage.keep(x, "towns") for x in build.build_towns(placed))
     code = plain_code(F.col("code")).alias("lg")
     base = placed.where("lat is not null").groupBy(F.col("lg_code").alias("lg"), "machiaza_id").agg(F.min_by("lat", "ord").alias("lat"), F.min_by("lng", "ord").alias("lng"))
     n = t("rsdt_number").where("dlat is not null and dlng is not null").select(code, "machiaza_id", "blk", "no_key", "dlat", "dlng", F.col("num_id").alias("ord")).where("lg is not null")
@@ -223,7 +224,7 @@ def _engine(spark, d) -> GeoEngine:
     blocks = n.select("lg", "machiaza_id", "blk").distinct().join(base, ["lg", "machiaza_id"])
     parcels = t("parcel").where("lat is not null and lng is not null").select(code, "machiaza_id", F.col("parcel_id").alias("ord"), "a", "b", "c", "lat", "lng", "scale").where("lg is not null")
     stations = t("station")
-    return GeoEngine(spark, Tables(t("city"), keys, kana, blocks, n, parcels, None, stations.select(F.col("line_code").alias("code")).distinct(), stations))
+    return GeoEngine(spark, Tables(t("city"), keys, kana, stage.keep(blocks, "blocks"), stage.keep(n, "numbers"), stage.keep(parcels, "parcels"), None, stations.select(F.col("line_code").alias("code")).distinct(), stations))
 
 
 @query()

@@ -117,3 +117,10 @@ def test_prefectures(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(["14", "１４", "神奈川", "京都", "0", "48", "京都市", None, "北海道", "東京都渋谷区"])], "i int, s string")
     got = {r.i: r.pref for r in resolve_prefs(df, "s", p).collect()}
     assert [got[i] for i in range(10)] == ["14", "14", "14", "26", None, None, None, None, "01", None]
+
+
+def test_python_and_jvm_keys_agree(spark):
+    rnd = __import__("random").Random(11)
+    values = ["".join(rnd.choice("霞ヶケがガカのノ之関國千十二〇三1０９ア ー-・,町ゕゖヵぁゐ澤") for _ in range(rnd.randint(0, 9))) for _ in range(400)] + [None, "", "ab, c"]
+    for a, b in ((text.to_key, text.key_of_nfkc), (text.to_exact_key, text.exact_key_of_nfkc), (text.to_kana_key, text.kana_key_of_nfkc)):
+        assert apply(spark, a, values) == apply(spark, lambda c, b=b: b(text.nfkc(c)), values)
