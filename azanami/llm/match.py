@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from azanami.functions.geo import haversine_m, in_box
-from azanami.functions.text import kana_key_of_nfkc, key_of_nfkc, nfkc
+from azanami.functions.text import kana_key_of_nfkc, to_kana_key, to_key
 from azanami.llm.plain import plain_values
 from azanami.operators.skew import attach_by_key
 from azanami.operators.small import join_small
@@ -28,7 +28,7 @@ TOLERANCE = 1e-3
 MAX_ROUNDS = 12
 #: Strength with which one row of a group supports another.
 COUPLING = 3.0
-_POSTCODE = "^\\s*(?:〒\\s*[0-9]{3}-?[0-9]{4}|[0-9]{3}-[0-9]{4}(?![0-9]))"
+_POSTCODE = r"(?U)^\s*(?:〒\s*[0-9０-９]{3}[-－‐−ー]?[0-9０-９]{4}|[0-9０-９]{3}[-－‐−][0-9０-９]{4}(?![0-9０-９]))"
 
 def marginals(pairs: DataFrame, one_to_one: bool = True, coupling: float = COUPLING, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(l, r, p): the probability that l and r are the same, for every candidate pair.
@@ -88,17 +88,17 @@ def register(towns: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     forms = Stage(towns.sparkSession, "register").keep(plain_values(named), "forms").select("value", F.col("n").alias("_m"), "plain")
     named = attach_by_key(named, forms, "value", "_m").drop("_m")
     # brackets, underscores and the like don't belong to names
-    key = F.regexp_replace(key_of_nfkc(nfkc("plain")), r"[\p{P}]+", "")
+    key = F.regexp_replace(to_key("plain"), r"[\p{P}]+", "")
     named = named.withColumn("name", key).where("name <> ''").where(~F.col("name").rlike("^[0-9]+丁目$"))
     per = named.groupBy("lg_code", "oaza_no", "name").agg(F.sum(F.when(F.col("place") == 0, F.col("n")).otherwise(0)).alias("own"), F.sum("n").alias("n"))
     most = Window.partitionBy("lg_code", "oaza_no")  # a town's few spellings
     per = per.withColumn("best", F.max("own").over(most))
     spelled = per.where((F.col("own") >= F.greatest(F.lit(1), F.col("best") * 0.2)) | (F.col("best") == 0) & (F.col("n") > 0)).select("lg_code", "oaza_no", F.lit(0).alias("axis"), "name")
-    read = rows.select("lg_code", "oaza_no", F.lit(1).alias("axis"), kana_key_of_nfkc(nfkc("oaza_cho_kana")).alias("name"))
+    read = rows.select("lg_code", "oaza_no", F.lit(1).alias("axis"), to_kana_key("oaza_cho_kana").alias("name"))
     out = spelled.unionByName(read)
     if entries is not None:
         e = entries.select(F.regexp_replace(F.col("code").cast("string"), "[^0-9]", "").alias("lg_code"), F.col("key").cast("string").alias("key"), F.col("kana").cast("string").alias("kana")).where("key is not null and kana is not null")
-        e = e.select("lg_code", F.regexp_replace(key_of_nfkc(nfkc("key")), r"(?:[0-9]+(?:丁目)?)$", "").alias("name"), kana_key_of_nfkc(nfkc("kana")).alias("reading")).distinct()
+        e = e.select("lg_code", F.regexp_replace(to_key("key"), r"(?:[0-9]+(?:丁目)?)$", "").alias("name"), to_kana_key("kana").alias("reading")).distinct()
         out = out.unionByName(spelled.join(e, ["lg_code", "name"]).select("lg_code", "oaza_no", F.lit(1).alias("axis"), F.col("reading").alias("name")))
     return out.where("name is not null and name <> ''").distinct()
 
@@ -111,7 +111,7 @@ def localities(cities: DataFrame) -> DataFrame:
     p, k = F.coalesce("pref_name", e), F.coalesce("county", e)
     forms = F.array_distinct(F.array(F.concat(p, k, "name"), F.concat(p, "name"), F.concat(k, "name"), F.col("name")))
     out = named.select(F.col("code").alias("lg_code"), "c_lat", "c_lng", F.explode(forms).alias("form"))
-    return out.select(key_of_nfkc(nfkc("form")).alias("loc"), "lg_code", "c_lat", "c_lng").where("loc <> ''").dropDuplicates(["loc", "lg_code"])
+    return out.select(to_key("form").alias("loc"), "lg_code", "c_lat", "c_lng").where("loc <> ''").dropDuplicates(["loc", "lg_code"])
 
 def _prefixes(text: Column, longest: int) -> Column:
     """All prefixes of up to ``longest`` letters, the longest key there is."""
@@ -146,7 +146,7 @@ def candidates(stations: DataFrame, names: DataFrame, locs: DataFrame, positions
     """
     stage = Stage(stations.sparkSession, "candidates")
     names, locs = stage.keep(names, "names"), stage.keep(locs, "locs")
-    base = stations.select(F.col("code").cast("long").alias("l"), F.col("group_code").cast("string").alias("g"), key_of_nfkc(F.regexp_replace(nfkc(F.col("address").cast("string")), _POSTCODE, "")).alias("key"),
+    base = stations.select(F.col("code").cast("long").alias("l"), F.col("group_code").cast("string").alias("g"), to_key(F.regexp_replace(F.col("address").cast("string"), _POSTCODE, "")).alias("key"),
                            F.col("pref").cast("int").alias("pref"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).where("l is not null").dropDuplicates(["l"])
     base = stage.keep(base, "stations")
     spots = _located(base.where("key is not null and key <> ''").select("l", "key"), locs)
