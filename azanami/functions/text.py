@@ -16,12 +16,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Old and variant letters with the letter in use now, pairs in the order of the old letter's reading.
+# Old and variant letters with the letter in use now: all pairs of the source's table and further ones.  No letter in use now
+# is an old one too.
 VARIANTS = (
-    "亞亜 圍囲 壹壱 榮栄 營営 驛駅 圓円 鹽塩 應応 歐欧 櫻桜 奧奥 橫横 溫温 畫画 會会 覺覚 學学 嶽岳 樂楽 勸勧 卷巻 觀観 關関 陷陥 巖巌 顏顔 歸帰 氣気 龜亀 舊旧 峽峡 鄕郷 曉暁 區区 驅駆 惠恵 溪渓 經経 繼継 螢蛍 鷄鶏 藝芸 縣県 圈圏 硏研 顯顕 嚴厳 "
-    "廣広 鑛鉱 號号 國国 黑黒 齋斎 雜雑 參参 絲糸 齒歯 兒児 實実 舍舎 壽寿 收収 澁渋 處処 奬奨 將将 燒焼 乘乗 條条 淨浄 晉晋 眞真 圖図 瀨瀬 靜静 齊斉 淺浅 錢銭 雙双 壯壮 巢巣 莊荘 藏蔵 卽即 體体 對対 帶帯 滯滞 臺台 瀧滝 擇択 澤沢 單単 團団 癡痴 "
-    "蟲虫 廳庁 鎭鎮 鐵鉄 轉転 傳伝 燈灯 當当 德徳 獨独 讀読 繩縄 廢廃 麥麦 濱浜 拂払 佛仏 變変 邊辺 邉辺 舖舗 穗穂 寶宝 豐豊 萬万 滿満 彌弥 藥薬 豫予 與与 樣様 來来 賴頼 覽覧 龍竜 兩両 綠緑 禮礼 靈霊 戀恋 勞労 樓楼 祿禄 灣湾 嶋島 嶌島 濵浜 髙高 "
-    "﨑崎 𠮷吉 桒桑 冨富 舘館 槇槙 藪薮 鷗鴎 靍鶴 渕淵 曾曽 桧檜 薗園 圀国 峯峰 埜野 舩船"
+    "亞亜 惡悪 壓圧 圍囲 醫医 爲為 壹壱 飮飲 隱隠 榮栄 營営 衞衛 驛駅 圓円 鹽塩 緣縁 應応 歐欧 毆殴 櫻桜 奧奥 橫横 溫温 穩穏 假仮 價価 畫画 會会 壞壊 懷懐 繪絵 擴拡 殼殻 覺覚 學学 嶽岳 樂楽 勸勧 卷巻 歡歓 罐缶 觀観 關関 陷陥 巖巌 顏顔 歸帰 氣気 "
+    "龜亀 僞偽 戲戯 犧犠 舊旧 據拠 擧挙 峽峡 狹狭 鄕郷 曉暁 區区 驅駆 勳勲 薰薫 徑径 惠恵 溪渓 經経 繼継 莖茎 螢蛍 輕軽 鷄鶏 藝芸 擊撃 縣県 劍剣 險険 圈圏 檢検 權権 獻献 硏研 顯顕 驗験 嚴厳 廣広 恆恒 鑛鉱 號号 國国 黑黒 濟済 碎砕 齋斎 劑剤 雜雑 "
+    "參参 慘惨 棧桟 蠶蚕 讚讃 殘残 絲糸 齒歯 兒児 辭辞 濕湿 實実 舍舎 寫写 釋釈 壽寿 收収 從従 澁渋 獸獣 縱縦 肅粛 處処 敍叙 奬奨 將将 燒焼 稱称 證証 乘乗 剩剰 壤壌 孃嬢 條条 淨浄 疊畳 穰穣 讓譲 釀醸 觸触 寢寝 愼慎 晉晋 眞真 盡尽 圖図 粹粋 醉酔 "
+    "隨随 髓髄 數数 樞枢 瀨瀬 聲声 靜静 齊斉 攝摂 竊窃 專専 戰戦 淺浅 潛潜 纖繊 踐践 錢銭 禪禅 雙双 壯壮 搜捜 插挿 巢巣 爭争 總総 聰聡 莊荘 裝装 騷騒 增増 藏蔵 臟臓 卽即 屬属 續続 墮堕 體体 對対 帶帯 滯滞 臺台 瀧滝 擇択 澤沢 單単 團団 癡痴 遲遅 "
+    "晝昼 蟲虫 鑄鋳 廳庁 鎭鎮 遞逓 鐵鉄 轉転 點点 傳伝 黨党 盜盗 燈灯 當当 鬪闘 德徳 獨独 讀読 屆届 繩縄 貳弐 腦脳 廢廃 拜拝 賣売 麥麦 發発 髮髪 拔抜 蠻蛮 濱浜 甁瓶 拂払 佛仏 竝並 變変 邊辺 邉辺 辨弁 舖舗 穗穂 寶宝 豐豊 沒没 飜翻 萬万 滿満 默黙 "
+    "彌弥 藥薬 譯訳 豫予 餘余 與与 譽誉 搖揺 樣様 謠謡 來来 賴頼 覽覧 龍竜 兩両 獵猟 綠緑 壘塁 勵励 禮礼 靈霊 齡齢 戀恋 爐炉 勞労 樓楼 祿禄 灣湾 嶋島 嶌島 濵浜 髙高 﨑崎 𠮷吉 桒桑 冨富 舘館 槇槙 藪薮 鷗鴎 靍鶴 渕淵 曾曽 薗園 圀国 畧略 峯峰 埜野 "
+    "舩船 嵜崎 栁柳 檜桧 邨村 渴渇 揭掲 缺欠 儉倹 狀状 擔担 膽胆 斷断 彈弾 徵徴 聽聴 瓣弁 辯弁 步歩 每毎 亂乱 淚涙 隸隷 曆暦 歷歴 錄録 淸清 靑青 塲場 屛屏 侭儘"
 )
 _pairs = dict(VARIANTS.split())
 VARIANT_FROM, VARIANT_TO = "".join(_pairs), "".join(_pairs.values())

@@ -20,6 +20,27 @@ def test_one_key(spark):
         assert len(set(apply(spark, text.to_key, group))) == 1, group
 
 
+#: The pairs of the reference's table (src/core/variants.ts) but the two that hold one letter twice.
+REFERENCE_PAIRS = (
+    "髙高 𠮷吉 﨑崎 嵜崎 邊辺 邉辺 澤沢 濱浜 濵浜 舘館 曾曽 瀨瀬 齋斎 齊斉 冨富 栁柳 檜桧 嶋島 嶌島 峯峰 邨村 槇槙 亞亜 圍囲 醫医 壹壱 飮飲 隱隠 營営 榮栄 衞衛 驛駅 圓円 緣縁 應応 歐欧 櫻桜 奧奥 橫横 溫温 假仮 價価 畫画 會会 壞壊 懷懐 樂楽 渴渇 卷巻 關関 "
+    "歡歓 舊旧 據拠 擧挙 峽峡 狹狭 曉暁 區区 驅駆 勸勧 惠恵 揭掲 缺欠 儉倹 劍剣 圈圏 檢検 權権 獻献 縣県 險険 顯顕 驗験 嚴厳 廣広 恆恒 鑛鉱 號号 國国 齒歯 濕湿 實実 舍舎 寫写 收収 從従 澁渋 獸獣 縱縦 將将 稱称 燒焼 條条 狀状 乘乗 淨浄 剩剰 疊畳 孃嬢 讓譲 "
+    "釀醸 盡尽 醉酔 髓髄 數数 樞枢 靜静 攝摂 專専 戰戦 纖繊 禪禅 雙双 壯壮 搜捜 插挿 巢巣 爭争 總総 莊荘 裝装 藏蔵 臟臓 屬属 續続 墮堕 體体 對対 帶帯 滯滞 臺台 擇択 單単 擔担 膽胆 團団 斷断 彈弾 遲遅 晝昼 蟲虫 鑄鋳 廳庁 徵徴 聽聴 鎭鎮 傳伝 轉転 點点 燈灯 "
+    "當当 鬪闘 德徳 讀読 拜拝 賣売 髮髪 拔抜 拂払 佛仏 竝並 變変 瓣弁 辨弁 辯弁 舖舗 步歩 寶宝 豐豊 沒没 飜翻 每毎 萬万 滿満 麥麦 默黙 彌弥 藥薬 譯訳 豫予 餘余 與与 譽誉 搖揺 樣様 謠謡 來来 賴頼 亂乱 覽覧 龍竜 兩両 獵猟 綠緑 淚涙 壘塁 勵励 禮礼 隸隷 靈霊 "
+    "齡齢 曆暦 歷歴 戀恋 勞労 樓楼 錄録 灣湾 壽寿 眞真 淸清 靑青 塲場 屛屏 觀観 鐵鉄 學学 圖図 桒桑 侭儘 "
+).split()
+
+
+def test_old_letters(spark):
+    assert len(REFERENCE_PAIRS) == 220
+    pairs = REFERENCE_PAIRS + text.VARIANTS.split()
+    old, new = ([f"{p[i]}田{p[i]}" for p in pairs] for i in (0, 1))
+    for fn in (text.to_key, text.to_exact_key, text.key_of_nfkc, text.unify_variants):
+        a, b = apply(spark, fn, old), apply(spark, fn, new)
+        assert [p for p, x, y in zip(pairs, a, b) if x != y] == []
+    assert not set(text.VARIANT_FROM) & set(text.VARIANT_TO)
+    assert apply(spark, text.to_key, ["栁町", "檜原邨", "淸水步"]) == ["柳町", "桧原村", "清水歩"]
+
+
 def test_different_keys(spark):
     for a, b in (("中島", "中ノ島"), ("岩崎", "岩ケ崎")):
         x, y = apply(spark, text.to_key, [a, b])
