@@ -14,7 +14,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 # Old and variant letters with the letter in use now: all pairs of the source's table and further ones.  No letter in use now
 # is an old one too.
@@ -151,6 +151,26 @@ def to_key(s: pd.Series) -> pd.Series:
     return s.map(key_text)
 
 
+def word_end_places(v: str | None) -> list[int] | None:
+    """Letters of the key of one text before each of its inner spaces; none inside a run of kanji numerals, which is one number."""
+    if v is None:
+        return None
+    out, at, cur = [], 0, ""
+    for w in unicodedata.normalize("NFKC", v).split():
+        if cur and not (cur[-1] in _NUMERALS and w[0] in _NUMERALS):
+            at += len(key_text(cur))
+            out.append(at)
+            cur = ""
+        cur += w
+    return out
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def word_ends(s: pd.Series) -> pd.Series:
+    """Places in ``to_key`` of a text where the text has a space."""
+    return s.map(word_end_places)
+
+
 @F.pandas_udf(StringType())
 def to_exact_key(s: pd.Series) -> pd.Series:
     """As ``to_key`` but ケ and ノ as written: tells apart names that share a key."""

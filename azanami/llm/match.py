@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from azanami.functions.geo import haversine_m, in_box
-from azanami.functions.text import kana_key_of_nfkc, to_kana_key, to_key
+from azanami.functions.text import kana_key_of_nfkc, to_kana_key, to_key, word_ends
 from azanami.llm.plain import plain_values
 from azanami.operators.skew import attach_by_key
 from azanami.operators.small import join_small
@@ -28,6 +28,8 @@ TOLERANCE = 1e-3
 MAX_ROUNDS = 12
 #: Strength with which one row of a group supports another.
 COUPLING = 3.0
+#: Fewest letters of a name that may have a wrong one: a single letter that differs has nothing in common with the name.
+SHORTEST = 2
 _POSTCODE = r"(?U)^\s*(?:〒\s*[0-9０-９]{3}[-－‐−ー]?[0-9０-９]{4}|[0-9０-９]{3}[-－‐−][0-9０-９]{4}(?![0-9０-９]))"
 
 def marginals(pairs: DataFrame, one_to_one: bool = True, coupling: float = COUPLING, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -122,20 +124,20 @@ def _masked(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.lit("\u0001"), F.substring(text, i + 1, F.length(text))))
 
 def _located(addresses: DataFrame, locs: DataFrame) -> DataFrame:
-    """(l, rest, lg_code, c_lat, c_lng, loc_cost): the municipalities that an address begins with, the longest writing, or one with a wrong letter."""
+    """(l, rest, ends, lg_code, c_lat, c_lng, loc_cost): the municipalities that an address begins with, the longest writing, or one with a wrong letter."""
     longest = locs.agg(F.max(F.length("loc"))).first()[0] or 0
     if not longest:
         longest = 1
-    heads = addresses.select("l", "key", F.explode(_prefixes(F.col("key"), longest)).alias("loc"))
+    heads = addresses.select("l", "key", "ends", F.explode(_prefixes(F.col("key"), longest)).alias("loc"))
     hit = join_small(heads, locs, "loc")
     longest_of = Window.partitionBy("l")  # a handful of prefixes of one address
     exact = hit.withColumn("_m", F.max(F.length("loc")).over(longest_of)).where(F.length("loc") == F.col("_m"))
-    exact = exact.select("l", F.expr("substring(key, length(loc) + 1)").alias("rest"), "lg_code", "c_lat", "c_lng", F.lit(0.0).alias("loc_cost"))
+    exact = exact.select("l", F.expr("substring(key, length(loc) + 1)").alias("rest"), F.expr("transform(ends, e -> e - length(loc))").alias("ends"), "lg_code", "c_lat", "c_lng", F.lit(0.0).alias("loc_cost"))
     lost = addresses.join(exact.select("l").distinct(), "l", "left_anti")
     masks = locs.where(F.length("loc") >= 4).select("*", F.explode(_masked(F.col("loc"))).alias("mask"))
-    tries = lost.select("l", "key", F.explode(_prefixes(F.col("key"), longest)).alias("head")).where(F.length("head") >= 4).select("l", "key", F.explode(_masked(F.col("head"))).alias("mask"))
+    tries = lost.select("l", "key", "ends", F.explode(_prefixes(F.col("key"), longest)).alias("head")).where(F.length("head") >= 4).select("l", "key", "ends", F.explode(_masked(F.col("head"))).alias("mask"))
     near = join_small(tries, masks, "mask").withColumn("_m", F.max(F.length("loc")).over(longest_of)).where(F.length("loc") == F.col("_m"))
-    near = near.select("l", F.expr("substring(key, length(loc) + 1)").alias("rest"), "lg_code", "c_lat", "c_lng", F.lit(2.0).alias("loc_cost")).distinct()
+    near = near.select("l", F.expr("substring(key, length(loc) + 1)").alias("rest"), F.expr("transform(ends, e -> e - length(loc))").alias("ends"), "lg_code", "c_lat", "c_lng", F.lit(2.0).alias("loc_cost")).distinct()
     return exact.unionByName(near)
 
 def candidates(stations: DataFrame, names: DataFrame, locs: DataFrame, positions: DataFrame | None = None) -> DataFrame:
@@ -147,21 +149,23 @@ def candidates(stations: DataFrame, names: DataFrame, locs: DataFrame, positions
     stage = Stage(stations.sparkSession, "candidates")
     names, locs = stage.keep(names, "names"), stage.keep(locs, "locs")
     base = stations.select(F.col("code").cast("long").alias("l"), F.col("group_code").cast("string").alias("g"), to_key(F.regexp_replace(F.col("address").cast("string"), _POSTCODE, "")).alias("key"),
-                           F.col("pref").cast("int").alias("pref"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).where("l is not null").dropDuplicates(["l"])
+                           word_ends(F.regexp_replace(F.col("address").cast("string"), _POSTCODE, "")).alias("ends"), F.col("pref").cast("int").alias("pref"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).where("l is not null").dropDuplicates(["l"])
     base = stage.keep(base, "stations")
-    spots = _located(base.where("key is not null and key <> ''").select("l", "key"), locs)
-    spots = spots.withColumn("rest", F.regexp_replace("rest", "^(大字|字)", ""))
+    spots = _located(base.where("key is not null and key <> ''").select("l", "key", "ends"), locs)
+    spots = spots.withColumn("_all", F.length("rest")).withColumn("rest", F.regexp_replace("rest", "^(大字|字)", ""))
+    spots = spots.withColumn("ends", F.filter(F.transform("ends", lambda e: e - F.col("_all") + F.length("rest")), lambda e: e > 0)).drop("_all")
     spots = stage.keep(spots.withColumn("kana", kana_key_of_nfkc(F.col("rest"))), "spots")
     longest = names.agg(F.max(F.length("name"))).first()[0] or 1
-    texts = spots.select("l", "lg_code", "loc_cost", F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("rest").alias("t")), F.struct(F.lit(1).alias("axis"), F.col("kana").alias("t")))).alias("x")).select("l", "lg_code", "loc_cost", "x.*").where("t <> ''")
-    heads = texts.select("l", "lg_code", "loc_cost", "axis", "t", F.explode(_prefixes(F.col("t"), longest)).alias("name"))
-    heads = heads.withColumn("clean", F.expr("length(name) = length(t) or substring(t, length(name) + 1, 1) rlike '[0-9(\\\\-]'"))
+    read_ends = F.transform("ends", lambda e: F.length(kana_key_of_nfkc(F.substring(F.col("rest"), F.lit(1), e))))
+    texts = spots.select("l", "lg_code", "loc_cost", F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("rest").alias("t"), F.col("ends").alias("ends")), F.struct(F.lit(1).alias("axis"), F.col("kana").alias("t"), read_ends.alias("ends")))).alias("x")).select("l", "lg_code", "loc_cost", "x.*").where("t <> ''")
+    heads = texts.select("l", "lg_code", "loc_cost", "axis", "t", "ends", F.explode(_prefixes(F.col("t"), longest)).alias("name"))
+    heads = heads.withColumn("clean", F.expr("length(name) = length(t) or substring(t, length(name) + 1, 1) rlike '[0-9(\\\\-]' or array_contains(ends, length(name))")).drop("ends")
     exact = heads.join(names, ["lg_code", "axis", "name"]).select("l", "lg_code", "oaza_no", "loc_cost", "axis", "clean", F.length("name").alias("len"), F.lit(False).alias("typo"))
     exact = stage.keep(exact, "exact")
-    open_ = heads.join(exact.where("clean").select("l").distinct(), "l", "left_anti").where((F.length("name") >= 3) & (F.col("clean") | (F.length("name") >= 5)))
-    marks = names.where(F.length("name") >= 3).select("lg_code", "oaza_no", "axis", F.explode(_masked(F.col("name"))).alias("mask"))
+    open_ = heads.join(exact.where("clean").select("l").distinct(), "l", "left_anti").where(F.length("name") >= SHORTEST)
+    marks = names.where(F.length("name") >= SHORTEST).select("lg_code", "oaza_no", "axis", F.explode(_masked(F.col("name"))).alias("mask"))
     typo = open_.select("l", "lg_code", "loc_cost", "axis", "clean", F.length("name").alias("len"), F.explode(_masked(F.col("name"))).alias("mask")).join(marks, ["lg_code", "axis", "mask"])
-    typo = typo.select("l", "lg_code", "oaza_no", "loc_cost", "axis", "clean", "len", F.lit(True).alias("typo")).where("clean")
+    typo = typo.select("l", "lg_code", "oaza_no", "loc_cost", "axis", "clean", "len", F.lit(True).alias("typo"))
     both = exact.unionByName(typo)
     w = (F.when(F.col("typo"), 2.0).otherwise(4.0) - F.col("axis") * 0.5 - F.col("loc_cost") + F.when(F.col("clean"), 0.0).otherwise(-2.5) + F.col("len") * F.when(F.col("axis") == 1, 0.25).otherwise(0.5)
          - F.when(F.col("typo") & (F.col("len") <= 3), 2.0).otherwise(0.0))

@@ -10,6 +10,7 @@ import unicodedata
 import numpy as np
 import pytest
 
+from azanami.functions import text
 from azanami.llm import dups, leaks, match, packing, plain, subjects
 
 # ---------------------------------------------------------------- 8: leaks
@@ -173,6 +174,23 @@ def test_station_towns(spark):
     assert match.station_towns(stations.limit(0), towns, city).count() == 0 and match.station_towns(stations, towns.limit(0), city).count() == 0
 
 
+def test_one_wrong_letter_before_text(spark):
+    city = spark.createDataFrame([("01", "01", "霞県", "pref", None, None, None), ("010011", "01", "山浜市", "city", None, 35.0, 139.0)], "code string, pref string, name string, level string, county string, lat double, lng double")
+    t = [("0001000", "米垣長郷"), ("0002000", "青魚富端"), ("0003000", "玉園東"), ("0004000", "塩峰")]
+    towns = spark.createDataFrame([("010011", i, n, None, "", "") for i, n in t], "lg_code string, machiaza_id string, oaza_cho string, oaza_cho_kana string, chome string, koaza string")
+    s = ["皐垣長郷 南口ロータリー前", "青滋富端駅ナカ館", "玉園北 駅前", "塩嶺5", "遠野台駅前", "塩峰　駅前", "大字青滋富端　駅ナカ館"]
+    stations = spark.createDataFrame([(i, i, "霞県山浜市" + a, 1, 35.0, 139.0) for i, a in enumerate(s)], "code long, group_code long, address string, pref int, lat double, lng double")
+    got = {r.station_code: r.oaza_no for r in match.station_towns(stations, towns, city).collect()}
+    assert got == {0: "0001", 1: "0002", 2: "0003", 3: "0004", 5: "0004", 6: "0002"}
+
+
+def test_word_ends():
+    assert [text.word_end_places(v) for v in (None, "", " 甲　乙 ", "十 二丁目 駅", "(株) ㍻ 3")] == [None, [], [1], [4], [3, 5]]
+    for v in ("霞ヶ 関 二十 三番、地", "一 ノ 関"):
+        key, ends = text.key_text(v), text.word_end_places(v)
+        assert [key[:e] for e in ends] and all(0 < e < len(key) for e in ends)
+
+
 # ---------------------------------------------------------------- 7: packing
 
 
