@@ -14,6 +14,8 @@ from azanami.plans.engine import GeoEngine, Tables, lookup_number, lookup_parcel
 from azanami.runtime import Stage, table
 
 Q: dict = {}
+# A postal code before an address.
+POSTCODE = r"(?U)^\s*(?:〒\s*[0-9０-９]{3}[-－‐−ー]?[0-9０-９]{4}|[0-9０-９]{3}[-－‐−][0-9０-９]{4}(?![0-9０-９]))"
 
 
 def query(sql: str | None = None):
@@ -92,17 +94,25 @@ def _tails(spark, d):
     return t.select("code", "s", parse.parse_tail_of_nfkc(F.col("s")).alias("t"))
 
 
+def _numbers_of(t):
+    return t.select("code", F.array_join(F.transform("t.tokens", lambda x: x["value"].cast("string")), ",").alias("numbers"), F.array_join(F.transform("t.tokens", lambda x: F.coalesce(x["unit"], F.lit(""))), ",").alias("units"), F.col("t.building").alias("building"))
+
+
+def _assigned(t):
+    t = t.select("code", parse.assign_ban_go(F.col("t.tokens")).alias("x"), parse.assign_parcel(F.col("t.tokens")).alias("y"))
+    return t.select("code", "x.block", "x.number", "y.a", "y.b", "y.c")
+
+
 @query(_PARSED + "SELECT code, array_to_string(n, ',') AS numbers, array_to_string(u, ',') AS units, CASE WHEN b <> '' THEN b END AS building FROM r")
 def tail_parse(spark, d):
-    return _tails(spark, d).select("code", F.array_join(F.transform("t.tokens", lambda x: x["value"].cast("string")), ",").alias("numbers"), F.array_join(F.transform("t.tokens", lambda x: F.coalesce(x["unit"], F.lit(""))), ",").alias("units"), F.col("t.building").alias("building"))
+    return _numbers_of(_tails(spark, d))
 
 
 @query(_PARSED + """, i AS (SELECT code, list_filter(list_zip(n, u), lambda x: x[2] = '') AS p, list_filter(list_zip(n, u), lambda x: x[2] = 'ban') AS b, list_filter(list_zip(n, u), lambda x: x[2] = 'go') AS g, list_filter(list_zip(n, u), lambda x: x[2] <> 'chome') AS a FROM r)
   SELECT code, CASE WHEN len(b) + len(g) > 0 THEN b[1][1]::BIGINT ELSE p[1][1]::BIGINT END AS block, CASE WHEN len(b) + len(g) > 0 THEN g[1][1]::BIGINT ELSE p[2][1]::BIGINT END AS number,
   CASE WHEN len(a) > 0 THEN a[1][1]::BIGINT END AS a, CASE WHEN len(a) > 0 THEN coalesce(a[2][1]::BIGINT, 0) END AS b, CASE WHEN len(a) > 0 THEN coalesce(a[3][1]::BIGINT, 0) END AS c FROM i""")
 def assign_numbers(spark, d):
-    t = _tails(spark, d).select("code", parse.assign_ban_go(F.col("t.tokens")).alias("x"), parse.assign_parcel(F.col("t.tokens")).alias("y"))
-    return t.select("code", "x.block", "x.number", "y.a", "y.b", "y.c")
+    return _assigned(_tails(spark, d))
 
 
 @query(f"""SELECT code, regexp_replace(regexp_replace(regexp_replace(s, '丁目|丁|番地の|番地|番|号|の|ノ|之', '-', 'g'), '[-ー―‐−–—]+', '-', 'g'), '^-|-$', '', 'g') AS banchi FROM {_TAIL} WHERE NOT regexp_matches(s, '[〇零一壱二弐三参四五六七八九十百千０-９]')""")
@@ -110,6 +120,46 @@ def banchi_normalize(spark, d):
     return _tails(spark, d).select("code", text.normalize_banchi_of_nfkc(F.col("s")).alias("banchi"))
 
 
+_FIRST_NUMBER = f"(?s)(?:[0-9]|[{text._NUMERALS}]+(?:丁目|番地|番|号|地割)).*$"
+
+
+def after_town(addresses, towns, cities):
+    """addresses (code, address) with ``s``: what follows the town, or the first number where the address begins with no town's plain writing."""
+    c = cities.where("level <> 'pref'").join(cities.where("level = 'pref'").select("pref", F.col("name").alias("pn")), "pref", "left")
+    e = F.lit("")
+    forms = F.array_distinct(F.array(*(F.concat(p, k, "name") for p in (F.coalesce("pn", e), e) for k in (F.coalesce("county", e), e))))
+    locs = c.select(F.col("code").alias("lg_code"), F.explode(forms).alias("loc"))
+    names = towns.where("oaza_cho <> ''").select("lg_code", "oaza_cho").distinct()
+    keys = names.join(locs, "lg_code").select(F.explode(F.array(*(F.concat("loc", F.lit(x), "oaza_cho") for x in ("", "大字", "字")))).alias("key"))
+    keys = Stage(towns.sparkSession, "tails").keep(keys.select(text.to_key("key").alias("key")).distinct(), "keys")
+    plain = F.regexp_replace("address", POSTCODE, "")
+    a = addresses.select("code", "address", text.to_key(plain).alias("_t"), text.to_exact_key(plain).alias("_x"), text.strip_noise(text.nfkc(plain)).alias("_n"))
+    hits = prefix.prefix_hits(a.select("code", "_t"), "_t", keys).groupBy("code").agg(F.max("matched").alias("_m"))
+    a = a.join(hits, "code", "left")
+    return a.select("code", "address", F.when(F.col("_m").isNotNull(), F.substring(F.col("_x"), F.col("_m") + 1, F.length("_x"))).otherwise(F.regexp_extract("_n", _FIRST_NUMBER, 0)).alias("s"))
+
+
+def _whole_tails(spark, d):
+    a = table(spark, d, "station").where("address is not null").select("code", "address")
+    return after_town(a, table(spark, d, "mt_town_all"), table(spark, d, "city"))
+
+
+@query()
+def tail_parse_whole(spark, d):
+    """As tail_parse over every address after its town, numerals of all kinds; no SQL, since SQL has no NFKC numerals."""
+    return _numbers_of(_whole_tails(spark, d).select("code", parse.parse_tail(F.col("s")).alias("t")))
+
+
+@query()
+def assign_numbers_whole(spark, d):
+    return _assigned(_whole_tails(spark, d).select("code", parse.parse_tail(F.col("s")).alias("t")))
+
+
+@query()
+def banchi_normalize_whole(spark, d):
+    return _whole_tails(spark, d).select("code", text.normalize_banchi(F.col("s")).alias("banchi"))
+
+
 @query("""SELECT row_id, array_to_string(list_filter([oaza_cho || chome || koaza, CASE WHEN koaza = '' AND regexp_full_match(chome, '[0-9０-９〇零一壱二弐三参四五六七八九十百千]+丁目') THEN oaza_cho || regexp_extract(chome, '^(.+)丁目$', 1) || '*' END], lambda x: x IS NOT NULL AND x <> ''), '|') AS names FROM mt_town_all WHERE NOT contains(koaza, '通')""")
 def alias_expand(spark, d):
     t = table(spark, d, "mt_town_all").where(~F.col("koaza").contains("通"))

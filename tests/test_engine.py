@@ -1,9 +1,12 @@
 """Address resolution end to end on the written gazetteer."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from azanami.fixtures import gazetteer
+from azanami.functions import parse, text
 from azanami.plans.engine import GeoEngine
+from azanami.queries import gazetteer as queries
 
 CASES = {
     1: "東京都世田谷区太子堂5-5-5",
@@ -111,3 +114,26 @@ def test_nearest_by_address(spark):
     engine = GeoEngine(spark, gazetteer(spark))
     rows = engine.nearest_by_address(spark.createDataFrame([(1, "中央区銀座1-1-1"), (2, "ない")], "id long, address string"), limit=2).orderBy("id", "rank").collect()
     assert [(r.id, r.code) for r in rows] == [(1, 3), (1, 1), (2, None)]
+
+
+def test_whole_tails(spark):
+    city = spark.createDataFrame([("01", "01", "雪県", "pref", None), ("010011", "01", "雪道市", "city", None), ("010029", "01", "川島町", "city", "石郡")], "code string, pref string, name string, level string, county string")
+    towns = spark.createDataFrame([("010011", "梅条原"), ("010011", "草麻端"), ("010011", "三条町"), ("010029", "塩峰")], "lg_code string, oaza_cho string")
+    want = [
+        ("雪道市梅条原３８番地", "38", "ban", None, (None, None), "38"),
+        ("雪道市草麻端七丁目4番13号", "7,4,13", "chome,ban,go", None, None, "7-4-13"),
+        ("雪県 雪道市　大字草麻端 ７丁目４－１３ 駅前ビル2F", "7,4,13", "chome,,", "駅前ビル2F", None, "7-4-13駅前ビル2F"),
+        ("〒123-4567 雪県雪道市三条町十二番三号", "12,3", "ban,go", None, None, "12-3"),
+        ("雪県石郡川島町塩峰二の三", "2,3", ",", None, None, "2-3"),
+        ("川島町無之谷五丁目６番", "5,6", "chome,ban", None, None, "5-6"),
+        ("雪道市梅条原駅前ビル", "", "", "駅前ビル", None, "駅前ビル"),
+        ("無之谷", "", "", None, None, ""),
+    ]
+    a = spark.createDataFrame([(i, w[0]) for i, w in enumerate(want)], "code int, address string")
+    tails = queries.after_town(a, towns, city)
+    parsed = tails.select("code", parse.parse_tail(F.col("s")).alias("t"))
+    got = {r.code: (r.numbers, r.units, r.building) for r in queries._numbers_of(parsed).collect()}
+    assert got == {i: w[1:4] for i, w in enumerate(want)}
+    lots = {r.code: (r.block, r.number, r.a) for r in queries._assigned(parsed).collect()}
+    assert lots[0] == (38, None, 38) and lots[1] == (4, 13, 4) and lots[2] == (4, 13, 4) and lots[4] == (2, 3, 2)
+    assert {r.code: r.b for r in tails.select("code", text.normalize_banchi(F.col("s")).alias("b")).collect()} == {i: w[5] for i, w in enumerate(want)}
