@@ -466,6 +466,21 @@ def key_collisions(spark, d):
     return quality.key_collisions(t.join(_pos(spark, d), ["lg_code", "machiaza_id"], "left").withColumnRenamed("machiaza_id", "id"), ["lg_code", "key"], "name", "id")
 
 
+def collisions_of_names(towns, pos):
+    """(axis, lg_code, key, names, ids, spread_m, class): different whole names with one ``to_key``, or whose readings have one ``to_kana_key``."""
+    whole = lambda end: F.concat(*(F.coalesce(c + end, F.lit("")) for c in ("oaza_cho", "chome", "koaza")))
+    t = towns.select("lg_code", "machiaza_id", whole("").alias("name"), whole("_kana").alias("kana")).where("name <> ''").distinct()
+    spelled = t.select("lg_code", "machiaza_id", "name", F.lit("spelling").alias("axis"), text.to_key("name").alias("key"))
+    read = t.where("kana <> ''").select("lg_code", "machiaza_id", "name", F.lit("reading").alias("axis"), text.to_kana_key("kana").alias("key"))
+    named = spelled.unionByName(read).join(pos, ["lg_code", "machiaza_id"], "left").withColumnRenamed("machiaza_id", "id")
+    return quality.key_collisions(named, ["axis", "lg_code", "key"], "name", "id")
+
+
+@query()
+def key_collisions_whole(spark, d):
+    return collisions_of_names(table(spark, d, "mt_town_all"), _pos(spark, d))
+
+
 @query("""WITH v AS (SELECT source, license_id AS version, count(*) AS n FROM documents GROUP BY 1, 2), t AS (SELECT source, arg_max(version, lpad(n::VARCHAR, 12, '0') || version) AS version FROM v WHERE version IS NOT NULL GROUP BY source)
   SELECT source, strftime(max(committed_at), '%Y-%m-%d') AS modified, count(*) AS files, count(DISTINCT path) AS names, any_value(t.version) AS version FROM documents JOIN t USING (source) GROUP BY source""")
 def version_summary(spark, d):

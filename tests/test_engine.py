@@ -137,3 +137,23 @@ def test_whole_tails(spark):
     lots = {r.code: (r.block, r.number, r.a) for r in queries._assigned(parsed).collect()}
     assert lots[0] == (38, None, 38) and lots[1] == (4, 13, 4) and lots[2] == (4, 13, 4) and lots[4] == (2, 3, 2)
     assert {r.code: r.b for r in tails.select("code", text.normalize_banchi(F.col("s")).alias("b")).collect()} == {i: w[5] for i, w in enumerate(want)}
+
+
+def test_collisions_of_whole_names(spark):
+    rnd = __import__("random").Random(5)
+    names = ["霞ヶ丘", "霞が丘", "霞ケ丘東", "栁町", "柳町", "梅原一", "梅原１", "梅原南", "栁町"]
+    kana = ["カスミガオカ", "かすみがおか", None, "ヤナギマチ", "", "ウメハラ"]
+    rows = [("010011", f"{i:07d}", rnd.choice(names), rnd.choice(["", "一丁目", "１丁目"]), "", rnd.choice(kana), "", None) for i in range(25)]
+    towns = spark.createDataFrame(rows, "lg_code string, machiaza_id string, oaza_cho string, chome string, koaza string, oaza_cho_kana string, chome_kana string, koaza_kana string")
+    pos = spark.createDataFrame([(r[0], r[1], 35.0, 139.0) for r in rows[:9]], "lg_code string, machiaza_id string, lat double, lng double")
+    kana_key = {k: v for k, v in zip([k for k in kana if k], [r[0] for r in spark.createDataFrame([(k,) for k in kana if k], "k string").select(text.to_kana_key("k")).collect()])}
+    want: dict = {}
+    for lg, i, o, c, _, k, *_ in rows:
+        for axis, key in (("spelling", text.key_text(o + c)), ("reading", kana_key.get(k))):
+            if key:
+                want.setdefault((axis, lg, key), (set(), set()))[0].add(o + c)
+                want[axis, lg, key][1].add(i)
+    want = {k: (len(n), len(i)) for k, (n, i) in want.items() if len(n) > 1}
+    got = {(r.axis, r.lg_code, r.key): (r.names, r.ids) for r in queries.collisions_of_names(towns, pos).collect()}
+    assert sorted(got.items()) == sorted(want.items())
+    assert ("spelling", "010011", "柳町1丁目") in got
