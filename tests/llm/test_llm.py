@@ -122,6 +122,22 @@ def test_plain_forms(spark):
     assert plain.deviating({"t": (df.limit(0), "row_id", ["v"])}).count() == 0
 
 
+def test_letters_of_one_script_stay(spark):
+    vals = ["武士町"] * 10 + ["粘土町", "力士", "カ士", "N0A坂", *(f"NOA{x}" for x in "山川谷沢原畑"), "ΟΚ団地", "日曜", "曰曜", "トリの", "くリはね"] + ["くりはね", "くりは ね"]
+    df = spark.createDataFrame(list(enumerate(vals)), "row_id long, v string")
+    form = {r.value: r.plain for r in plain.plain_fields({"t": (df, "row_id", ["v"])}).collect()}
+    same = ["武士町", "粘土町", "力士", "日曜", "曰曜", "トリの"]
+    assert [form[v] for v in same] == same
+    assert form["N0A坂"] == "NOA坂" and form["くリはね"] == "くりはね"
+
+
+def test_tokens():
+    t = plain.tokens("卜三丿弓 РAХ-x1")
+    assert [(x["form"], x["skel"]) for x in t] == [("卜三", "トミ"), ("丿", "ノ"), ("РAХx1", "PAXxI")]
+    assert t[0]["one"] == [] and "PAXx1" in t[2]["one"] and plain.tokens("弓角") == [] == plain.tokens("")
+    assert [(x["want"]) for x in plain.tokens("くリはね")[0]["letters"]] == ["り"]
+
+
 # ---------------------------------------------------------------- 1: matching
 
 
