@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from azanami.runtime import Stage
+
 #: Heavy keys hold more than 1/SLICES of the rows, hence there are fewer than SLICES of them.
 SLICES = 1000
 
@@ -62,6 +64,7 @@ def codes_by_table(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
         one = df.select(F.lit(name).alias("src_table"), plain_code(F.col(col)).alias("code"))
         out = one if out is None else out.unionByName(one)
     counted = aggregate_by_key(out, ["src_table", "code"], n_rows=F.count(F.lit(1)))
+    counted = Stage(counted.sparkSession, "codes").keep(counted)  # at most a million codes a table: the totals come from these, not from a second scan
     total = counted.groupBy("src_table").agg(F.sum("n_rows").alias("n_all"))
     return counted.join(F.broadcast(total), "src_table")  # one row per table name
 
