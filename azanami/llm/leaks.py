@@ -7,8 +7,9 @@ run of ``MIN_WORDS`` words of every evaluation item is searched backwards throug
 rows that match are walked to the next sampled suffix, which tells the document and the place in it.
 Windows that overlap or touch are merged to spans, ready for removal.
 
-The only thing sent to all tasks is the evaluation items' words, in blocks of at most ``BLOCK_BYTES``; a larger set
-takes several passes, with the same result.
+The only thing sent to all tasks is the evaluation items' words, in blocks of about ``BLOCK_BYTES`` each.  The corpus is read
+and indexed once however many blocks there are: a task searches one block after another in a shard's index, and holds one of
+them at a time.
 """
 
 from __future__ import annotations
@@ -198,25 +199,30 @@ def _merge(doc: np.ndarray, item: np.ndarray, at: np.ndarray, k: int) -> pd.Data
     return pd.DataFrame({"doc": doc[first], "item": item[first], "first_word": at[first], "end_word": at[last] + k})
 
 
-def _scan(spark, items: list[tuple[int, list[str]]], k: int, shard_words: int):
-    names, windows, owner = _windows([w for _, w in items], k)
-    shared = spark.sparkContext.broadcast((np.array([i for i, _ in items]), names, windows, owner))
+def _value(shared):
+    """A broadcast's value, not kept by the worker: with many blocks only one is held at a time."""
+    value = shared.value
+    shared.__dict__.pop("_value", None)
+    return value
 
-    def find(ids: list, docs: list[list[str]]) -> pd.DataFrame:
-        item_ids, names, windows, owner = shared.value
+
+def _scan(blocks: list, k: int, shard_words: int):
+    """Index every shard once and search all blocks of items in it."""
+
+    def find(ids: list, docs: list[list[str]]) -> Iterator[pd.DataFrame]:
         index = FMIndex(docs)
-        code = np.array([index.vocab.get(w, -1) + 1 for w in names], dtype=np.int64)
-        lo, hi = index.search(code[windows])
-        n = np.maximum(hi - lo, 0)
-        rows = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        place = index.locate(rows)
-        doc = np.searchsorted(index.start, place, side="right") - 1
-        out = _merge(doc, np.repeat(owner, n), place - index.start[doc], k)
-        return pd.DataFrame({"doc_id": [ids[i] for i in out["doc"]], "item_id": item_ids[out["item"]], "first_word": out["first_word"], "end_word": out["end_word"]})
+        for shared in blocks:
+            item_ids, names, windows, owner = _value(shared)
+            code = np.array([index.vocab.get(w, -1) + 1 for w in names], dtype=np.int64)
+            lo, hi = index.search(code[windows])
+            n = np.maximum(hi - lo, 0)
+            rows = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            place = index.locate(rows)
+            doc = np.searchsorted(index.start, place, side="right") - 1
+            out = _merge(doc, np.repeat(owner, n), place - index.start[doc], k)
+            yield pd.DataFrame({"doc_id": [ids[i] for i in out["doc"]], "item_id": item_ids[out["item"]], "first_word": out["first_word"], "end_word": out["end_word"]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not len(shared.value[1]):
-            return
         ids: list = []
         docs: list[list[str]] = []
         n = 0
@@ -229,10 +235,10 @@ def _scan(spark, items: list[tuple[int, list[str]]], k: int, shard_words: int):
                 docs.append(w)
                 n += len(w)
                 if n >= shard_words or len(ids) >= SHARD_DOCS:
-                    yield find(ids, docs)
+                    yield from find(ids, docs)
                     ids, docs, n = [], [], 0
         if ids:
-            yield find(ids, docs)
+            yield from find(ids, docs)
 
     return run
 
@@ -260,13 +266,14 @@ def leaked_spans(corpus: DataFrame, items: DataFrame, min_words: int = MIN_WORDS
     spark = corpus.sparkSession
     docs = corpus.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
     wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    schema, out = "doc_id long, item_id long, first_word long, end_word long", None
+    schema, blocks = "doc_id long, item_id long, first_word long, end_word long", []
     for block in _blocks(wanted, block_bytes):
-        one = docs.mapInPandas(_scan(spark, block, min_words, shard_words), schema)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+        names, windows, owner = _windows([w for _, w in block], min_words)
+        if len(names):
+            blocks.append(spark.sparkContext.broadcast((np.array([i for i, _ in block]), names, windows, owner)))
+    if not blocks:
         return spark.createDataFrame([], schema)
-    return out.distinct()
+    return docs.mapInPandas(_scan(blocks, min_words, shard_words), schema).distinct()
 
 
 def leaked_items(corpus: DataFrame, items: DataFrame, **how) -> DataFrame:

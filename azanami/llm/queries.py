@@ -15,6 +15,12 @@ dw AS (SELECT doc_id, array_to_string(t[k:k+15], ' ') AS g FROM (SELECT doc_id,
 iw AS (SELECT DISTINCT item_id, array_to_string(t[k:k+15], ' ') AS g FROM (SELECT item_id, t, unnest(range(1, len(t) - 14)) AS k FROM i WHERE len(t) >= 16))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
 
+_P8_SPANS = _P8[:_P8.index("SELECT DISTINCT doc_id, item_id")].replace("SELECT doc_id, array_to_string", "SELECT doc_id, k - 1 AS pos, array_to_string") + """,
+m AS (SELECT DISTINCT doc_id, item_id, pos FROM dw JOIN iw USING (g)),
+n AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id, item_id ORDER BY pos) + 16 THEN 0 ELSE 1 END AS new FROM m),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY pos) AS span FROM n)
+SELECT doc_id, item_id, min(pos) AS first_word, max(pos) + 16 AS end_word FROM s GROUP BY doc_id, item_id, span"""
+
 
 def _towns(spark, d):
     t = lambda n: table(spark, d, n)
@@ -75,6 +81,6 @@ QUERIES = {
     "p3_entries": (p3_entries, f"WITH k AS (SELECT row_id, {_KEY} AS key FROM mt_town_all) SELECT min(row_id) AS keep_id, count(*) AS n_copies FROM k WHERE key <> '' GROUP BY key"),
     "p8_found": (p8_found, _P8),
     "p7_pack": (p7_pack, None),
-    "p8_spans": (p8_spans, None),
+    "p8_spans": (p8_spans, _P8_SPANS),
     "p9_found": (p9_found, None),
 }

@@ -73,6 +73,21 @@ def test_leaks(spark, shard, block):
     assert leaks.leaked_items(dd.limit(0), ii).count() == 0 and leaks.leaked_items(dd, ii.limit(0)).count() == 0
 
 
+def test_blocks_share_one_read(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    docs = spark.createDataFrame([(i, f"a{i} b c d e f") for i in range(50)], "doc_id long, text string").mapInPandas(counted, "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"a{i} b c d") for i in range(50)], "item_id long, text string").repartition(1)
+    got = leaks.leaked_items(docs, items, min_words=4, block_bytes=2500)
+    assert len(list(leaks._blocks(items, 2500))) >= 3
+    assert {tuple(r) for r in got.collect()} == {(i, i) for i in range(50)} and seen.value == 50
+
+
 # ---------------------------------------------------------------- 3: duplicates
 
 
