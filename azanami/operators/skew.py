@@ -19,6 +19,8 @@ from azanami.runtime import Stage
 
 #: Heavy keys hold more than 1/SLICES of the rows, hence there are fewer than SLICES of them.
 SLICES = 1000
+#: Rows that one task may hold in any case.
+SMALL = 500_000
 
 
 def aggregate_by_key(df: DataFrame, keys: list[str], **states: Column) -> DataFrame:
@@ -29,14 +31,17 @@ def aggregate_by_key(df: DataFrame, keys: list[str], **states: Column) -> DataFr
     return df.groupBy(*keys).agg(*(c.alias(n) for n, c in states.items()))
 
 
-def attach_by_key(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int | None = None, slices: int = SLICES, how: str = "inner") -> DataFrame:
+def attach_by_key(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int | None = None, slices: int = SLICES, how: str = "inner", small: int = SMALL) -> DataFrame:
     """Join of many rows to one row per key, inner or left.
 
     ``per_key`` has key once per value, and in ``n`` the number of rows of that key.  ``total``: number of all
-    rows, counted from ``per_key`` if not given.  Null keys match nothing.
+    rows, counted from ``per_key`` if not given.  Null keys match nothing.  Up to ``small`` rows in all are joined plainly: no key
+    can be too much for a task then.
     """
     if total is None:
         total = per_key.agg(F.sum(n)).first()[0] or 0
+    if total <= small:
+        return rows.join(per_key, key, how)
     bar = max(total // slices, 1)
     heavy, light = per_key.where(F.col(n) > bar), per_key.where(F.col(n) <= bar)
     heavy = heavy.withColumn("_heavy", F.lit(True))

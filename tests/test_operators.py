@@ -44,11 +44,12 @@ def test_heavy_keys_join(spark):
     rows = [(i, "hot" if i % 3 else f"k{i % 50}", None) for i in range(3000)] + [(9999, None, None)]
     df = spark.createDataFrame(rows, "i long, k string, n2 string")
     per = df.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("first"))
-    got = attach_by_key(df, per, "k", "n", slices=10).select("i", "first").collect()
+    got = attach_by_key(df, per, "k", "n", slices=10, small=0).select("i", "first").collect()
     first = {}
     for i, k, _ in rows:
         first.setdefault(k, i)
     assert sorted(map(tuple, got)) == sorted((i, first[k]) for i, k, _ in rows if k)
+    assert sorted(map(tuple, attach_by_key(df, per, "k", "n").select("i", "first").collect())) == sorted(map(tuple, got))
     other = spark.createDataFrame([("hot", x) for x in range(3)] + [("k3", 7)], "k string, x int")
     got = join_salted(df.select("i", "k"), other, ["k"], per.select("k", "n"), "n", "i", salts=4, slices=10).count()
     assert got == 3 * sum(r[1] == "hot" for r in rows) + sum(r[1] == "k3" for r in rows)
