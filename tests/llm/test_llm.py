@@ -9,6 +9,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from azanami.functions import text
 from azanami.llm import dups, leaks, match, packing, plain, subjects
@@ -186,6 +187,46 @@ def test_one_to_one_resolves_competition(spark):
     assert match.marginals(df.limit(0)).count() == 0
 
 
+def test_room_and_convergence(spark):
+    rows = [(i, None, "a", 2.0, 2) for i in range(5)] + [(9, None, "b", 1.0, None)]
+    df = spark.createDataFrame(rows, "l long, g string, r string, w double, room int")
+    crowd = match.marginals(df).collect()
+    alone = match.marginals(df.where("l in (0, 9)")).collect()
+    one = {r.l: r.p for r in crowd}
+    assert max(r.residual for r in crowd) <= match.TOLERANCE and one[0] < {r.l: r.p for r in alone}[0] - 0.05
+    assert abs(one[9] - 1 / (1 + math.exp(-1.0))) < 1e-6
+    # a ring of equal claims: messages go round, and the result says how far they still move
+    ring = [(i, None, f"r{(i + k) % 3}", 3.0 + 0.1 * i) for i in range(3) for k in (0, 1)]
+    got = match.marginals(spark.createDataFrame(ring, "l long, g string, r string, w double")).collect()
+    per = {}
+    for r in got:
+        per[r.l] = per.get(r.l, 0.0) + r.p
+    assert max(r.residual for r in got) <= match.TOLERANCE and all(p <= 1 + 1e-9 for p in per.values())
+    few = match.marginals(spark.createDataFrame(ring, "l long, g string, r string, w double"), max_rounds=2).collect()
+    assert max(r.residual for r in few) > match.TOLERANCE
+
+
+def test_full_places(spark):
+    def blocked(c, m):
+        terms = [m ** k / math.factorial(k) for k in range(c + 1)]
+        return terms[-1] / sum(terms)
+
+    rows = [(c, m) for c in (1, 2, 5, 40) for m in (0.1, 1.0, 30.0)]
+    df = spark.createDataFrame(rows, "c int, m double")
+    assert all(abs(r.b - blocked(r.c, r.m)) < 1e-9 for r in df.select("c", "m", match._full(F.col("c"), F.col("m")).alias("b")).collect())
+    far = spark.createDataFrame([(1000, 2000.0), (1000, 500.0)], "c int, m double").select(match._full(F.col("c"), F.col("m")).alias("b")).collect()
+    assert [round(r.b, 6) for r in far] == [0.5, 0.0]
+
+
+def test_one_letter_off(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))) for _ in range(120)]
+    a = spark.createDataFrame([(w,) for w in set(words[:60])], "h string")
+    b = spark.createDataFrame([(w,) for w in set(words[60:])], "name string")
+    got = {(r.h, r.name) for r in match.one_letter_off(a, "h", b, "name", []).collect()}
+    assert got == {(x, y) for x in words[:60] for y in words[60:] if len(x) == len(y) and sum(p != q for p, q in zip(x, y)) == 1}
+
+
 def test_group_supports(spark):
     df = spark.createDataFrame([(0, "g", "a", 1.0), (0, "g", "b", 1.0), (1, "g", "a", 4.0), (2, None, "a", 1.0), (2, None, "b", 1.0)], "l long, g string, r string, w double")
     got = {(r.l, r.r): r.p for r in match.marginals(df, one_to_one=False).collect()}
