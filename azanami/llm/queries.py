@@ -68,6 +68,10 @@ def p7_pack(spark, d):
     return packing.pack(table(spark, d, "documents"))
 
 
+def p7_utilisation(spark, d):
+    return packing.utilisation(p7_pack(spark, d))
+
+
 def p9_found(spark, d):
     return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_label"), table(spark, d, "subject_area"))
 
@@ -81,6 +85,7 @@ QUERIES = {
     "p3_entries": (p3_entries, f"WITH k AS (SELECT row_id, {_KEY} AS key FROM mt_town_all) SELECT min(row_id) AS keep_id, count(*) AS n_copies FROM k WHERE key <> '' GROUP BY key"),
     "p8_found": (p8_found, _P8),
     "p7_pack": (p7_pack, None),
+    "p7_utilisation": (p7_utilisation, None),
     "p8_spans": (p8_spans, _P8_SPANS),
     "p9_found": (p9_found, None),
 }

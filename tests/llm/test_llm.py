@@ -301,8 +301,46 @@ def test_plan_stays_small():
     assert len(runs) <= 3 * cap * math.log2(cap)
 
 
+def test_sweep_gives_the_smallest_free_gap():
+    rnd = random.Random(11)
+    for _ in range(40):
+        rows = sorted(((rnd.randint(1, 30), rnd.randint(0, 1)) for _ in range(rnd.randint(0, 60))), key=lambda r: (-r[0], r[1]))
+        kind = np.array([k for _, k in rows], dtype=int)
+        free, want, lost = [], {}, []
+        for i, (size, k) in enumerate(rows):
+            if k == 0:
+                free.append(i)
+            elif free:
+                want[i] = free.pop()  # the last gap seen is the smallest that is free
+            else:
+                lost.append(i)
+        d, g, docs, gaps = packing.sweep(kind)
+        assert dict(zip(d.tolist(), g.tolist())) == want and docs.tolist() == lost and gaps.tolist() == free
+        # the same in ranges, paired by their counts
+        cuts = sorted(rnd.randint(0, len(rows)) for _ in range(3))
+        parts = [(a, b) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        local = [packing.sweep(kind[a:b]) for a, b in parts]
+        got = {a + x: a + y for (a, _), (p, q, _, _) in zip(parts, local) for x, y in zip(p.tolist(), q.tolist())}
+        pairs, placed = packing.pair_ranges([(i, len(x[2]), len(x[3])) for i, x in enumerate(local)])
+        for part, first, n, g_part, g_rank in pairs:
+            for k in range(n):
+                got[parts[part][0] + int(local[part][2][first + k])] = parts[g_part][0] + int(local[g_part][3][g_rank - k])
+        assert got == want and sum(placed.values()) == sum(p[2] for p in pairs)
+
+
+def test_rounds_pack_nearly_as_well_as_best_fit_decreasing():
+    rnd = random.Random(12)
+    for cap in (50, 512, 2048):
+        sizes = sorted((min(cap, max(1, int(rnd.lognormvariate(math.log(cap / 5), 0.8)))) for _ in range(4000)), reverse=True)
+        none = np.zeros(0, np.int64)
+        at = packing.finish(np.array(sizes), none, none, 0, cap)
+        used = np.bincount(at, weights=sizes)
+        assert used.max() <= cap and (used > 0).all() and len(used) <= 1.02 * len(best_fit_decreasing(sizes, cap))
+
+
 def test_pack(spark, monkeypatch):
-    monkeypatch.setattr(packing, "RANK_GROUP", 7)
+    monkeypatch.setattr(packing, "SWEEP_ROWS", 150)
+    monkeypatch.setattr(packing, "TAIL", 150)
     rnd = random.Random(7)
     docs = [(i, " ".join(rnd.choice(["word", "東京", "x1", "int"]) for _ in range(rnd.randint(0, 40)))) for i in range(200)] + [(500, None), (501, ""), (502, "long text " * 200), (None, "no id"), (7, "again"), (7, "again")]
     df = spark.createDataFrame([(*d, 1, "c") for d in docs], "doc_id long, text string, tokens int, container string")
