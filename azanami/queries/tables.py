@@ -32,6 +32,16 @@ s AS (SELECT line_id, v, CASE WHEN broken THEN 'quoting' WHEN v IS NULL OR len(v
 """
 
 
+# a broken record breaks at its end where a quote stays open, else at the first byte that no longer continues a sequence of fields
+_OFFSETS = rf""", x AS (SELECT s.line_id, reason, a.r, coalesce(len(s.v), 0) AS n FROM s JOIN a USING (line_id) WHERE reason IS NOT NULL),
+y AS (SELECT *, regexp_extract(r, '(?s)^(?:{_FIELD},)*') AS good FROM x),
+z AS (SELECT *, substr(r, length(good) + 1) AS bad FROM y)
+SELECT line_id, reason, CASE reason WHEN 'lg_code' THEN 0
+  WHEN 'machiaza_id' THEN strlen(regexp_extract(r, '(?s)^{_FIELD},'))
+  WHEN 'column_count' THEN CASE WHEN n > 8 THEN strlen(regexp_extract(r, '(?s)^(?:{_FIELD},){{8}}')) ELSE strlen(r) END
+  ELSE strlen(good) + CASE WHEN starts_with(bad, '"') THEN CASE WHEN regexp_full_match(bad, '(?s)"(?:[^"]|"")*') THEN strlen(bad) ELSE strlen(regexp_extract(bad, '(?s)^"(?:[^"]|"")*"')) END
+    ELSE strlen(regexp_extract(bad, '^[^",]*')) END END::BIGINT AS reason_offset FROM z"""
+
 
 def p4_found(spark, d):
     return heavy_codes({"rsdt_number": (table(spark, d, "rsdt_number"), "code"), "parcel": (table(spark, d, "parcel"), "code")})
@@ -47,7 +57,7 @@ def p5_found(spark, d):
 
 
 def _parsed(spark, d):
-    return parse_records(table(spark, d, "town_raw"), "line_id", "raw")
+    return parse_records(table(spark, d, "town_raw"), "line_id", "raw", types={"rsdt_addr_flg": "int", "efct_date": "date"})
 
 
 def p6_found(spark, d):
@@ -55,7 +65,11 @@ def p6_found(spark, d):
 
 
 def p6_rows(spark, d):
-    return _parsed(spark, d).where("reason is null").drop("reason", "reason_offset")
+    return _parsed(spark, d).where("reason is null").drop("reason", "reason_offset").withColumn("efct_date", F.date_format("efct_date", "yyyy-MM-dd"))
+
+
+def p6_offsets(spark, d):
+    return _parsed(spark, d).where("reason is not null").select("line_id", "reason", "reason_offset")
 
 
 QUERIES = {
@@ -65,5 +79,6 @@ QUERIES = {
         ON abs(c.lat - s.lat) < 0.01 AND {_HAV} <= 250
         WHERE c.lat BETWEEN 20 AND 46 AND c.lng BETWEEN 122 AND 154 AND s.lat BETWEEN 20 AND 46 AND s.lng BETWEEN 122 AND 154"""),
     "p6_found": (p6_found, _RECORDS + "SELECT line_id, reason FROM s WHERE reason IS NOT NULL"),
-    "p6_rows": (p6_rows, _RECORDS + "SELECT line_id, v[1] AS lg_code, v[2] AS machiaza_id, v[3] AS oaza_cho, v[4] AS oaza_cho_kana, v[5] AS chome, v[6] AS rsdt_addr_flg, v[7] AS efct_date, v[8] AS note FROM s WHERE reason IS NULL"),
+    "p6_offsets": (p6_offsets, _RECORDS + _OFFSETS),
+    "p6_rows": (p6_rows, _RECORDS + "SELECT line_id, v[1] AS lg_code, v[2] AS machiaza_id, v[3] AS oaza_cho, v[4] AS oaza_cho_kana, v[5] AS chome, TRY_CAST(v[6] AS INT) AS rsdt_addr_flg, strftime(TRY_CAST(v[7] AS DATE), '%Y-%m-%d') AS efct_date, v[8] AS note FROM s WHERE reason IS NULL"),
 }

@@ -68,6 +68,45 @@ def test_pieces_compose():
         assert (records.compose(records.chunk_function(c[:, :cut]), records.chunk_function(c[:, cut:])) == whole).all()
 
 
+def test_offsets_of_reasons(spark):
+    good = "011002,0001000,大町,オオマチ,一丁目,1,2020-01-01,"
+    cases = {1: (good, None, None), 2: (good + ",x", "column_count", len((good + ",").encode())), 3: ("011002,1", "column_count", 8), 4: ('011002,"00', "quoting", 10), 5: ('011002,"00"x,', "quoting", 11),
+             6: (good.replace("大町", '大"町'), "quoting", 18), 7: ("9" + good[1:], "lg_code", 0), 8: (good.replace("011002", '"011002"').replace("0001000", "x"), "machiaza_id", 9), 9: (None, "column_count", 0)}
+    df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "line_id long, raw string")
+    rows = records.parse_records(df, "line_id", "raw", types={"efct_date": "date", "rsdt_addr_flg": "int"}).collect()
+    assert {r.line_id: (r.reason, r.reason_offset) for r in rows} == {k: v[1:] for k, v in cases.items()}
+    first = next(r for r in rows if r.line_id == 1)
+    assert (str(first.efct_date), first.rsdt_addr_flg) == ("2020-01-01", 1)
+
+
+def whole_file_records(data):
+    """Records of a file one byte after the other."""
+    out, begin, state = [], 0, records.START
+    for i, c in enumerate(data):
+        if c == 10 and state != records.QUOTED:
+            out.append((begin, data[begin:i].decode()))
+            begin, state = i + 1, records.START
+        else:
+            state = records.STEP[records.CLASS[c], state]
+    return out + ([(begin, data[begin:].decode().removesuffix("\n"))] if begin < len(data) else [])
+
+
+def test_records_of_a_cut_file(spark, tmp_path):
+    rnd = random.Random(21)
+    piece = lambda: rnd.choice(["a", "町", ",", '"', '""', "\n", 'x,"b\nc\n\nd"\n', "plain,line\n", '"open\r\n'])
+    texts = ["".join(piece() for _ in range(rnd.randint(0, 200))).encode() for _ in range(4)] + [b"", b'"' + b"y\n" * 300 + b'",z\nlast']
+    for i, t in enumerate(texts):
+        (tmp_path / f"f{i}.csv").write_bytes(t)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    for size in ("170", "1000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = sorted((r.file.rsplit("/", 1)[-1], r.offset, r.raw) for r in records.read_records(spark, str(tmp_path)).collect())
+        assert got == sorted((f"f{i}.csv", at, raw) for i, t in enumerate(texts) for at, raw in whole_file_records(t))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
 def test_parse_records(spark):
     good = "011002,0001000,大町,オオマチ,一丁目,1,2020-01-01,"
     assert records.check_digit_ok("011002")
