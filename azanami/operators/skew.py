@@ -80,17 +80,18 @@ def heavy_codes(tables: dict[str, tuple[DataFrame, str]], share: float = 0.02) -
     return c.where(F.col("code").isNotNull() & (F.col("n_rows") >= share * F.col("n_all"))).select("src_table", "code")
 
 
-def join_salted(rows: DataFrame, other: DataFrame, keys: list[str], counts: DataFrame, n: str, salt_by: str, salts: int = 64, slices: int = SLICES) -> DataFrame:
+def join_salted(rows: DataFrame, other: DataFrame, keys: list[str], counts: DataFrame, n: str, salt_by: str, slices: int = SLICES) -> DataFrame:
     """Inner join of rows with ``other``, either with many rows per key, where a few keys hold most of ``rows``.
 
-    ``counts``: keys and their number of rows in ``n``.  Fewer than ``slices`` keys exceed 1/``slices`` of all rows; their
-    rows are spread over ``salts`` tasks by a hash of ``salt_by`` and meet as many copies of the other side's rows.
+    ``counts``: keys and their number of rows in ``n``.  Fewer than ``slices`` keys exceed 1/``slices`` of all rows; the rows of such
+    a key are spread by a hash of ``salt_by`` over as many parts as bring each below that, and meet a copy of the other side's rows in each.
     """
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    heavy = counts.where(F.col(n) > max(total // slices, 1)).select(*keys).withColumn("_heavy", F.lit(True))
+    counts = Stage(counts.sparkSession, "salts").keep(counts)
+    bar = max((counts.agg(F.sum(n)).first()[0] or 0) // slices, 1)
+    heavy = counts.where(F.col(n) > bar).select(*keys, F.ceil(F.col(n) / bar).cast("long").alias("_salts"))
     a = rows.join(F.broadcast(heavy), keys, "left")
     b = other.join(F.broadcast(heavy), keys, "left")
-    cold = a.where(F.col("_heavy").isNull()).drop("_heavy").join(b.where(F.col("_heavy").isNull()).drop("_heavy"), keys)
-    hot_a = a.where(F.col("_heavy")).drop("_heavy").withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))
-    hot_b = b.where(F.col("_heavy")).drop("_heavy").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    cold = a.where(F.col("_salts").isNull()).drop("_salts").join(b.where(F.col("_salts").isNull()).drop("_salts"), keys)
+    hot_a = a.where(F.col("_salts").isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.col("_salts"))).drop("_salts")
+    hot_b = b.where(F.col("_salts").isNotNull()).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
     return cold.unionByName(hot_a.join(hot_b, [*keys, "_salt"]).drop("_salt"))

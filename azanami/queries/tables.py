@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from azanami.operators.near import pairs_within
+from azanami.operators.near import containing_regions, pairs_within
 from azanami.operators.skew import codes_by_table, heavy_codes
+from azanami.plans.quality import prefecture_boxes
 from azanami.runtime import table
 from azanami.sources.records import parse_records
 
@@ -56,6 +57,14 @@ def p5_found(spark, d):
     return out.select(F.col("cand_id").cast("long"), F.col("station_code").cast("long"))
 
 
+def p5_regions(spark, d):
+    """Prefectures within whose box (of their municipalities, widened) each candidate lies."""
+    b = prefecture_boxes(table(spark, d, "city"))
+    corner = lambda y, x: F.struct(F.col(y).alias("lat"), F.col(x).alias("lng"))
+    r = b.select("pref", F.array(F.array(corner("lat0", "lng0"), corner("lat0", "lng1"), corner("lat1", "lng1"), corner("lat1", "lng0"))).alias("rings"))
+    return containing_regions(table(spark, d, "candidate"), "cand_id", r, "pref")
+
+
 def _parsed(spark, d):
     return parse_records(table(spark, d, "town_raw"), "line_id", "raw", types={"rsdt_addr_flg": "int", "efct_date": "date"})
 
@@ -78,6 +87,8 @@ QUERIES = {
     "p5_found": (p5_found, f"""SELECT c.cand_id, s.code::BIGINT AS station_code FROM candidate c JOIN station s
         ON abs(c.lat - s.lat) < 0.01 AND {_HAV} <= 250
         WHERE c.lat BETWEEN 20 AND 46 AND c.lng BETWEEN 122 AND 154 AND s.lat BETWEEN 20 AND 46 AND s.lng BETWEEN 122 AND 154"""),
+    "p5_regions": (p5_regions, """WITH b AS (SELECT pref, min(lat) - 0.6 AS a0, max(lat) + 0.6 AS a1, min(lng) - 0.6 AS o0, max(lng) + 0.6 AS o1 FROM city WHERE level <> 'pref' AND lat IS NOT NULL AND lng IS NOT NULL GROUP BY pref)
+        SELECT cand_id, pref FROM candidate JOIN b ON lat >= a0 AND lat < a1 AND lng >= o0 AND lng < o1"""),
     "p6_found": (p6_found, _RECORDS + "SELECT line_id, reason FROM s WHERE reason IS NOT NULL"),
     "p6_offsets": (p6_offsets, _RECORDS + _OFFSETS),
     "p6_rows": (p6_rows, _RECORDS + "SELECT line_id, v[1] AS lg_code, v[2] AS machiaza_id, v[3] AS oaza_cho, v[4] AS oaza_cho_kana, v[5] AS chome, TRY_CAST(v[6] AS INT) AS rsdt_addr_flg, strftime(TRY_CAST(v[7] AS DATE), '%Y-%m-%d') AS efct_date, v[8] AS note FROM s WHERE reason IS NULL"),

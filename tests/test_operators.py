@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from azanami.operators import order, prefix, stats
 from azanami.operators.knn import nearest_stations
-from azanami.operators.near import pairs_within
+from azanami.operators.near import containing_regions, pairs_within
 from azanami.operators.skew import attach_by_key, codes_by_table, heavy_codes, join_salted
 from azanami.operators.small import join_small
 from azanami.plans import quality
@@ -40,6 +40,42 @@ def test_pairs_within(spark):
     assert pairs_within(pd.limit(0), "pid", sd, "sid").count() == 0 and pairs_within(pd, "pid", sd.limit(0), "sid").count() == 0
 
 
+def inside(y, x, rings):
+    odd = False
+    for ring in rings:
+        for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]):
+            if (a <= y) != (c <= y) and b + (d - b) * (y - a) / (c - a) <= x:
+                odd = not odd
+    return odd
+
+
+def test_containing_regions(spark):
+    rnd = random.Random(31)
+
+    def star(y, x, r, n):
+        return [(y + r * rnd.uniform(0.3, 1) * math.sin(2 * math.pi * k / n), x + r * rnd.uniform(0.3, 1) * math.cos(2 * math.pi * k / n)) for k in range(n)]
+
+    regions = [(f"s{i}", [star(35 + rnd.random(), 139 + rnd.random(), rnd.choice([0.02, 0.3, 2.0]), rnd.randint(3, 40))]) for i in range(12)]
+    regions += [("hole", [[(35.0, 139.0), (35.0, 141.0), (37.0, 141.0), (37.0, 139.0)], [(35.5, 139.5), (36.5, 139.5), (36.5, 140.5), (35.5, 140.5)]]), ("flat", [[(35.0, 139.0), (35.0, 140.0), (35.0, 141.0)]])]
+    odd = [("none", None), ("short", [[(35.0, 139.0), (36.0, 140.0)]]), (None, regions[0][1]), ("nan", [[(float("nan"), 139.0), (36.0, 140.0), (36.0, 139.0)]])]
+    points = [(i, rnd.uniform(34, 38), rnd.uniform(138, 142)) for i in range(250)] + [(500 + i, 35.2, 139.2) for i in range(60)] + [(900, None, 139.0), (901, float("inf"), 139.0)]
+    pd = spark.createDataFrame([(*p, "n") for p in points], "pid long, lat double, lng double, name string")
+    rd = spark.createDataFrame(regions + odd, "rid string, rings array<array<struct<lat:double,lng:double>>>")
+    want = sorted((i, n) for i, y, x in points if y and y < 90 for n, rings in regions if inside(y, x, rings))
+    assert sorted(map(tuple, containing_regions(pd, "pid", rd, "rid").collect())) == want and len(want) > 100
+    assert sorted(map(tuple, containing_regions(pd, "pid", rd, "rid", height=0.7, slices=5, few=3).collect())) == want
+    assert containing_regions(pd, "pid", rd.limit(0), "rid").count() == containing_regions(pd.limit(0), "pid", rd, "rid").count() == 0
+
+
+def test_busy_tiles_are_divided(spark):
+    rnd = random.Random(32)
+    spot = lambda: (35 + rnd.random() * 0.004, 139 + rnd.random() * 0.004)
+    p, s = [(i, *spot()) for i in range(120)], [(i, *spot()) for i in range(90)]
+    pd, sd = spark.createDataFrame(p, "pid long, lat double, lng double"), spark.createDataFrame(s, "sid long, lat double, lng double")
+    got = sorted(map(tuple, pairs_within(pd, "pid", sd, "sid", 150.0, slices=4, few=5).collect()))
+    assert got == near_brute(p, s, 150.0) and len(got) > 500
+
+
 def test_heavy_keys_join(spark):
     rows = [(i, "hot" if i % 3 else f"k{i % 50}", None) for i in range(3000)] + [(9999, None, None)]
     df = spark.createDataFrame(rows, "i long, k string, n2 string")
@@ -51,7 +87,7 @@ def test_heavy_keys_join(spark):
     assert sorted(map(tuple, got)) == sorted((i, first[k]) for i, k, _ in rows if k)
     assert sorted(map(tuple, attach_by_key(df, per, "k", "n").select("i", "first").collect())) == sorted(map(tuple, got))
     other = spark.createDataFrame([("hot", x) for x in range(3)] + [("k3", 7)], "k string, x int")
-    got = join_salted(df.select("i", "k"), other, ["k"], per.select("k", "n"), "n", "i", salts=4, slices=10).count()
+    got = join_salted(df.select("i", "k"), other, ["k"], per.select("k", "n"), "n", "i", slices=10).count()
     assert got == 3 * sum(r[1] == "hot" for r in rows) + sum(r[1] == "k3" for r in rows)
 
 
