@@ -6,8 +6,9 @@ documents and words, so no pair of documents is ever written out, however many s
 takes part only while it is found in at least ``MIN_DOCS`` labelled documents and is at least ``MIN_LIFT`` times
 as frequent under its subject as overall, so words that all subjects share carry nothing.
 
-Seeds are documents with annotators' labels, a label counting where at least half of the document's labels agree with it; seeds
-stay clamped to their labels, and a document or word may belong to several subjects.  Each round recomputes the
+Seeds are documents with annotators' labels, a label counting where at least half of the document's labels agree with it; in all rounds
+seeds stay clamped to their labels (what is returned for them is recomputed from their words, since labels contain errors), and a
+document or word may belong to any number of subjects.  Each round recomputes the
 words' subjects from the documents and the documents' shares from the words, until no more than ``TOLERANCE`` of the
 documents change.  A document's subjects are those that make up at least ``MIN_SHARE`` of all its words.
 """
@@ -15,6 +16,7 @@ documents change.  A document's subjects are those that make up at least ``MIN_S
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from azanami.operators.skew import attach_by_key
 from azanami.runtime import Stage
 
 MIN_DOCS = 2
@@ -30,7 +33,8 @@ MIN_LIFT = 2.0
 #: about a fifth of what it speaks of.
 MIN_SHARE = 0.09
 TOLERANCE = 0.005
-MAX_ROUNDS = 5
+#: Rounds after which documents that still change are given up, with a warning.
+MAX_ROUNDS = 30
 #: Weight of the prior when a word's subjects are estimated.
 PRIOR = 2.0
 #: A word's lesser subjects count only from this part of it.
@@ -75,7 +79,7 @@ def seeds(labels: DataFrame, subjects: list[str], doc_id: str = "doc_id", subjec
 
 
 def word_subjects(edges: DataFrame, beliefs: DataFrame, k: int) -> DataFrame:
-    """(word, s1, w1, s2, w2): the subjects of each word that tells any, s2 null where it is the only one."""
+    """(word, parts): the subjects of each word that tells any, as (s, w), the strongest first; weights sum to one."""
     classes = range(k + 1)
     linked = edges.select("doc_id", "word").join(beliefs, "doc_id")
     per_word = linked.groupBy("word").agg(F.count(F.lit(1)).alias("df"), *(F.sum(f"b{c}").alias(f"t{c}") for c in classes))
@@ -83,31 +87,32 @@ def word_subjects(edges: DataFrame, beliefs: DataFrame, k: int) -> DataFrame:
     p = [max(float(prior[c] or 0.0), 1e-6) for c in classes]
     lift = [((F.col(f"t{c}") + PRIOR * p[c]) / (F.col("df") + PRIOR) / p[c]).alias(f"l{c}") for c in range(k)]
     rated = per_word.where(F.col("df") >= MIN_DOCS).select("word", *lift)
-    best = F.array_sort(
-        F.array(*(F.struct((-F.greatest(F.col(f"l{c}") - 1.0, F.lit(0.0))).alias("w"), F.lit(c).alias("s")) for c in range(k)))
-    )
-    top = rated.where(F.greatest(F.lit(0.0), *(F.col(f"l{c}") for c in range(k))) > MIN_LIFT).select("word", best.alias("b"))
-    first, second = F.col("b")[0], F.col("b")[1] if k > 1 else F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("s"))
-    both = first["w"] + second["w"]
-    shared = second["w"] / both >= MIN_PART
-    return top.select("word", first["s"].alias("s1"), F.when(shared, first["w"] / both).otherwise(1.0).alias("w1"), F.when(shared, second["s"]).alias("s2"), F.when(shared, second["w"] / both).alias("w2"))
-
-
-def document_shares(edges: DataFrame, words: DataFrame, k: int) -> DataFrame:
-    """(doc_id, sh0 ..): each subject's part of the document's words; ambiguous words follow its unambiguous ones."""
-    hit = edges.join(words, "word")
-    own = [F.sum(F.when((F.col("s1") == c) & F.col("s2").isNull(), F.col("n")).otherwise(0)).cast("double").alias(f"u{c}") for c in range(k)]
-    twofold = F.collect_list(F.when(F.col("s2").isNotNull(), F.struct("s1", "w1", "s2", "w2", "n"))).alias("amb")
-    per_doc = hit.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *own, twofold)
+    excess = F.array_sort(F.array(*(F.struct((-F.greatest(F.col(f"l{c}") - 1.0, F.lit(0.0))).alias("w"), F.lit(c).alias("s")) for c in range(k))))
+    top = rated.where(F.greatest(F.lit(0.0), *(F.col(f"l{c}") for c in range(k))) > MIN_LIFT).select("word", excess.alias("b"))
+    # a lesser subject counts if it has MIN_PART of what the word says, beside the strongest
+    kept = F.filter("b", lambda x, i: (i == 0) | (x["w"] / (F.col("b")[0]["w"] + x["w"]) >= MIN_PART))
+    weight = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["w"])
+    top = top.select("word", kept.alias("b")).withColumn("_all", weight(F.col("b")))
+    return top.select("word", F.transform("b", lambda x: F.struct(x["s"].alias("s"), (x["w"] / F.col("_all")).alias("w"))).alias("parts"))
+
+
+def document_shares(edges: DataFrame, words: DataFrame, k: int, total: int) -> DataFrame:
+    """(doc_id, sh0 ..): each subject's part of the document's words; ambiguous words follow its unambiguous ones.
+
+    words: as of ``word_subjects``, with the number ``df`` of each word's edges; total: of all edges.
+    """
+    hit = attach_by_key(edges, words, "word", "df", total)
+    single = F.size("parts") == 1
+    own = [F.sum(F.when(single & (F.col("parts")[0]["s"] == c), F.col("n")).otherwise(0)).cast("double").alias(f"u{c}") for c in range(k)]
+    several = F.collect_list(F.when(~single, F.struct("parts", "n"))).alias("amb")
+    per_doc = hit.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *own, several)
     u = F.array(*(F.col(f"u{c}") + 0.05 for c in range(k)))
+    drawn = lambda x: F.aggregate(x["parts"], F.lit(0.0), lambda a, y: a + u[y["s"]] * y["w"])
+    per_doc = per_doc.withColumn("amb", F.transform("amb", lambda x: F.struct(x["parts"].alias("parts"), (x["n"] / drawn(x)).alias("f"))))
 
     def part(c: int) -> Column:
-        def add(acc: Column, x: Column) -> Column:
-            a, b = u[x["s1"]] * x["w1"], u[x["s2"]] * x["w2"]
-            mine = F.when(x["s1"] == c, a).when(x["s2"] == c, b).otherwise(0.0)
-            return acc + x["n"] * mine / (a + b)
-
-        return F.aggregate("amb", F.lit(0.0), add)
+        mine = lambda x: F.aggregate(x["parts"], F.lit(0.0), lambda a, y: a + F.when(y["s"] == c, y["w"]).otherwise(0.0))
+        return (F.col(f"u{c}") + 0.05) * F.aggregate("amb", F.lit(0.0), lambda a, x: a + x["f"] * mine(x))
 
     return per_doc.select("doc_id", *(((F.col(f"u{c}") + part(c)) / F.col("n_words")).alias(f"sh{c}") for c in range(k)))
 
@@ -125,26 +130,31 @@ def subject_shares(docs: DataFrame, labels: DataFrame, subjects: list[str], min_
 
     ``subjects`` is a short list that the caller names (it becomes columns).  Rows without id or text, empty texts and
     documents without telling words have no row; of repeated ids the rows' words are counted together.  Without
-    usable labels there are no rows.  Labels outside the list (but ``none``) are ignored, letter case and
+    usable labels there are no rows.  A warning is given if more than ``tolerance`` of the documents still change after max_rounds.  Labels outside the list (but ``none``) are ignored, letter case and
     surrounding spaces too.  Other columns don't matter.
     """
     k, stage = len(subjects), Stage(docs.sparkSession, "subjects")
     edges = stage.keep(word_edges(docs), "edges")
     seeded = stage.keep(seeds(labels, subjects), "seeds")
-    beliefs, previous, old_path = seeded, None, None
+    freq = stage.keep(edges.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= MIN_DOCS), "freq")
+    total = edges.count()
+    beliefs, previous, old_path, diff = seeded, None, None, 1.0
     for _ in range(max_rounds):
-        words = stage.keep(word_subjects(edges, beliefs, k), "words")
-        shares, path = stage.write(document_shares(edges, words, k), "shares")
+        words = stage.keep(word_subjects(edges, beliefs, k).join(freq, "word"), "words")
+        shares, path = stage.write(document_shares(edges, words, k, total), "shares")
         mask = sum((F.when(F.col(f"sh{c}") >= min_share, 1 << c).otherwise(0) for c in range(1, k)), F.when(F.col("sh0") >= min_share, 1).otherwise(0))
         now = shares.select("doc_id", mask.alias("m"))
         if previous is not None:
             diff = now.join(previous.withColumnRenamed("m", "m0"), "doc_id", "full").agg(F.avg(F.when(F.col("m").eqNullSafe(F.col("m0")), 0.0).otherwise(1.0))).first()[0]
             if old_path:
                 stage.drop(old_path)
-            if (diff or 0.0) <= tolerance:
+            diff = diff or 0.0
+            if diff <= tolerance:
                 break
         previous, old_path = now, path
         beliefs = _beliefs(shares, seeded, k, min_share)
+    if (diff or 0.0) > tolerance and max_rounds > 1:
+        warnings.warn(f"subjects of {diff:.1%} of the documents still change after {max_rounds} rounds", stacklevel=2)
     return shares
 
 
