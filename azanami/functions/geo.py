@@ -18,7 +18,7 @@ GATE_BOX = (20.0, 45.8, 122.8, 154.1)
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance in metres; null if any coordinate is null."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # least() would pass over a null
 
 
 def in_box(lat: Column, lng: Column, box: tuple[float, float, float, float] = STATION_BOX) -> Column:

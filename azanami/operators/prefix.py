@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from azanami.functions.text import digit_runs, kana_key_of_nfkc
+from azanami.functions.text import digit_runs, kana_key_of_nfkc, loosen
 from azanami.operators.small import join_small
 
 
@@ -67,6 +67,31 @@ def longest_prefix(texts: DataFrame, ids: list[str], text: str, keys: DataFrame,
     return hits.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+#: Scores of a hit by spelling, by reading, and by reading without voicing.
+AXES = {"key": 1.0, "kana": 0.9, "loose": 0.7}
+
+
+def longest_on_axes(texts: DataFrame, ident: str, keys: DataFrame, ord_: str) -> DataFrame:
+    """(ident, ord_, axis, score, matched, rest): the entry with the longest hit on any axis; then the better axis, then the smaller ord_.
+
+    texts: ident, key, kana (a reading key or null).  keys: ord_, key, kana (a reading key or null), guard.  An entry is
+    compared by its spelling, unless its guard forbids that by its reading, and last by its reading without voicing; ``rest`` is what
+    the hit leaves of the text on its axis.  Null and empty texts and keys match nothing.
+    """
+    t = texts.select(F.col(ident).alias("_id"), F.col("key").alias("_key"), F.col("kana").alias("_kana"), loosen(F.col("kana")).alias("_loose"))
+    k = keys.select(F.col(ord_).alias("_ord"), F.col("key").alias("k_key"), F.col("kana").alias("k_kana"), loosen(F.col("kana")).alias("k_loose"), "guard")
+    out = None
+    for axis, score in AXES.items():
+        h = prefix_hits(t.select("_id", f"_{axis}"), f"_{axis}", k.select("_ord", f"k_{axis}", "guard"), f"k_{axis}")
+        if axis == "key":
+            h = h.where(unguarded(F.col("guard"), F.col("rest")))
+        h = h.select("_id", "_ord", F.lit(axis).alias("axis"), F.lit(score).alias("score"), "matched", "rest")
+        out = h if out is None else out.unionByName(h)
+    per_entry = out.groupBy("_id", "_ord").agg(F.max_by(F.struct("axis", "score", "matched", "rest"), "score").alias("h")).select("_id", "_ord", "h.*")
+    best = per_entry.groupBy("_id").agg(F.max_by(F.struct("_ord", "axis", "score", "matched", "rest"), F.struct("matched", "score", -F.col("_ord"))).alias("b"))
+    return best.select(F.col("_id").alias(ident), F.col("b._ord").alias(ord_), "b.axis", "b.score", "b.matched", "b.rest")
+
+
 def fuzzy_prefix(texts: DataFrame, text: str, keys: DataFrame, ord_: str, limit: int | None = 5, key: str = "key", partition: list[str] | None = None, same_first: bool = False) -> DataFrame:
     """Keys one edit away from a prefix of a text, where the text doesn't begin with the key itself.
 

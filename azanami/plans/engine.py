@@ -25,6 +25,8 @@ from azanami.runtime import Stage
 DEPTH = {"pref": 1, "city": 2, "oaza": 3, "block": 4, "parcel": 4, "rsdt": 5}
 EXACT, KANA, TYPO, ALIAS = 1.0, 0.9, 0.6, 0.85
 DESCEND, CITY_TYPOS, TOWN_TYPOS = 2, 8, 5
+#: Keys of one municipality that keep their order.
+MOST_KEYS = 2048
 _GUARD = "[市区町村郡]"
 CANDIDATE = ("address string, lat double, lng double, match_level string, system string, accuracy string, score double, building string, lg_code string, machiaza_id string, "
              "pref string, city string, county string, oaza string, chome int, koaza string, block bigint, rsdt bigint, parcel array<bigint>, parcel_exact boolean")
@@ -53,7 +55,7 @@ class GeoEngine:
         self.spark, self.t, self.limit, self.apply_guard = spark, tables, limit, apply_guard
         own = tables.cities.where("level = 'pref'").select("code", "name")
         self.prefs = tables.prefs if tables.prefs is not None else (own if not own.isEmpty() else prefectures(spark))
-        c = tables.cities if "city_ord" in tables.cities.columns else tables.cities.withColumn("city_ord", F.monotonically_increasing_id())
+        c = tables.cities if "city_ord" in tables.cities.columns else tables.cities.withColumn("city_ord", F.row_number().over(Window.orderBy("code")).cast("long"))  # some thousand rows
         self.cities = c
 
     # ---- dictionaries
@@ -62,8 +64,8 @@ class GeoEngine:
         """(e_ord, key, kana, code, c_pref, towns): every key of a municipality, the first reading with each, further readings alone."""
         c = self.cities.where("level <> 'pref'").select("city_ord", "code", F.col("pref").alias("c_pref"), F.coalesce("k", F.array().cast("array<string>")).alias("k"), F.coalesce("kk", F.array().cast("array<string>")).alias("kk"))
         kana = F.get("kk", F.lit(0))
-        keyed = c.select("*", F.posexplode("k").alias("_i", "key")).select((F.col("city_ord") * 64 + F.col("_i")).alias("e_ord"), "key", kana.alias("kana"), "code", "c_pref")
-        more = c.select("*", F.posexplode("kk").alias("_i", "kana")).where("_i > 0").select((F.col("city_ord") * 64 + 32 + F.col("_i")).alias("e_ord"), F.lit("").alias("key"), "kana", "code", "c_pref")
+        keyed = c.select("*", F.posexplode("k").alias("_i", "key")).select((F.col("city_ord") * 2 * MOST_KEYS + F.col("_i")).alias("e_ord"), "key", kana.alias("kana"), "code", "c_pref")
+        more = c.select("*", F.posexplode("kk").alias("_i", "kana")).where("_i > 0").select((F.col("city_ord") * 2 * MOST_KEYS + MOST_KEYS + F.col("_i")).alias("e_ord"), F.lit("").alias("key"), "kana", "code", "c_pref")
         return keyed.unionByName(more)
 
     def strip_pref(self, df: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ class GeoEngine:
     # ---- towns
 
     def town_hits(self, texts: DataFrame) -> DataFrame:
-        """(text, axis, hit_ord, key, rest) for distinct texts: spelling, else reading, else one edit with the same first letter.
+        """(text, axis, hit_ord, key, rest) for distinct texts: spelling, else reading, else one edit.
 
         hit_ord ranks the hits of a text, the longest first; ``key`` is the spelling to look up.
         """
@@ -134,7 +136,7 @@ class GeoEngine:
             out = out.unionByName(stage.keep(kana.select("text", F.lit("kana").alias("axis"), (-F.col("matched")).alias("hit_ord"), F.col("ref_key").alias("key"), F.col("ref_ord").cast("long"), "rest"), "kana"))
             left = texts.join(out.select("text").distinct(), "text", "left_anti")
         ordered = keys.select("key", F.col("key").alias("_by"))
-        typo = fuzzy_prefix(left, "text", ordered, "_by", TOWN_TYPOS, same_first=True).where(explains(F.col("key"), F.col("rest")))
+        typo = fuzzy_prefix(left, "text", ordered, "_by", TOWN_TYPOS).where(explains(F.col("key"), F.col("rest")))
         return out.unionByName(typo.select("text", F.lit("typo").alias("axis"), F.col("fuzzy_rank").alias("hit_ord"), "key", F.lit(0).cast("long").alias("ref_ord"), "rest"))
 
     def _resolve_towns(self, groups: DataFrame, stage: Stage) -> DataFrame:

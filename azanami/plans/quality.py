@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from azanami.functions.geo import GATE_BOX, haversine_m, in_box
 from azanami.operators.order import top_n
@@ -46,8 +47,28 @@ def town_gate(towns: DataFrame, cities: DataFrame) -> DataFrame:
 
 
 def far_by_city(towns: DataFrame, cities: DataFrame) -> DataFrame:
+    """(lg_code, farthest_m, farthest_town, n): municipalities with towns far from their own position; of equally far towns the smaller id."""
     t = _rated_towns(towns, cities).where(F.col("far_m") > FAR_TOWN_M)
-    return t.groupBy("lg_code").agg(F.round(F.max("far_m"), 1).alias("farthest_m"), F.count(F.lit(1)).alias("n"))
+    town = F.min_by("machiaza_id", F.struct(-F.col("far_m"), "machiaza_id"))
+    return t.groupBy("lg_code").agg(F.round(F.max("far_m"), 1).alias("farthest_m"), town.alias("farthest_town"), F.count(F.lit(1)).alias("n"))
+
+
+def flag_rates(towns: DataFrame, flag: str = "rsdt_addr_flg") -> DataFrame:
+    """(pref, flag, n, rate): rows by value of a flag within each prefecture, and their share of its rows."""
+    per = towns.groupBy(F.substring("lg_code", 1, 2).alias("pref"), F.col(flag).alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("rate", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("pref")), 6))  # a few values a prefecture
+
+
+def rows_per_file(lines: DataFrame, file: str = "file_name", headers: int = 0) -> DataFrame:
+    """(file, rows) without ``headers`` lines each."""
+    return lines.groupBy(F.col(file).alias("file")).agg((F.count(F.lit(1)) - headers).alias("rows"))
+
+
+def catalogued(files: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(name, modified): local files by the last part of their path, with the newest date that a catalogue (path, modified) has for that name."""
+    base = lambda c: F.substring_index(c, "/", -1)
+    newest = catalogue.groupBy(base("path").alias("name")).agg(F.max("modified").alias("modified"))
+    return files.select(base("path").alias("name")).where("name <> ''").distinct().join(newest, "name")
 
 
 def number_gate(distances: DataFrame, metres: str = "metres") -> DataFrame:

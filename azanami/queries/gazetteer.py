@@ -9,6 +9,7 @@ from azanami.functions.names import expand_aliases
 from azanami.operators import order, prefix, stats
 from azanami.operators.knn import nearest_stations
 from azanami.operators.skew import aggregate_by_key, plain_code
+from azanami.operators.small import join_small
 from azanami.plans import build, directory, quality
 from azanami.plans.engine import GeoEngine, Tables, lookup_number, lookup_parcel
 from azanami.runtime import Stage, table
@@ -160,9 +161,9 @@ def banchi_normalize_whole(spark, d):
     return _whole_tails(spark, d).select("code", text.normalize_banchi(F.col("s")).alias("banchi"))
 
 
-@query("""SELECT row_id, array_to_string(list_filter([oaza_cho || chome || koaza, CASE WHEN koaza = '' AND regexp_full_match(chome, '[0-9０-９〇零一壱二弐三参四五六七八九十百千]+丁目') THEN oaza_cho || regexp_extract(chome, '^(.+)丁目$', 1) || '*' END], lambda x: x IS NOT NULL AND x <> ''), '|') AS names FROM mt_town_all WHERE NOT contains(koaza, '通')""")
+@query("""SELECT row_id, array_to_string(list_filter([oaza_cho || chome || koaza, CASE WHEN koaza = '' AND regexp_full_match(chome, '[0-9０-９〇零一壱二弐三参四五六七八九十百千]+丁目') THEN oaza_cho || regexp_extract(chome, '^(.+)丁目$', 1) || '*' END], lambda x: x IS NOT NULL AND x <> ''), '|') AS names FROM mt_town_all """)
 def alias_expand(spark, d):
-    t = table(spark, d, "mt_town_all").where(~F.col("koaza").contains("通"))
+    t = table(spark, d, "mt_town_all")
     a = expand_aliases(F.col("oaza_cho"), F.col("chome"), F.col("koaza"))
     return t.select("row_id", F.array_join(F.transform(a, lambda x: F.concat(x["name"], F.when(x["guard"].isNotNull(), "*").otherwise(""))), "|").alias("names"))
 
@@ -208,6 +209,28 @@ def longest_prefix(spark, d):
     return prefix.longest_prefix(t, ["address"], "_t", _cities(spark, d), [F.asc("lg_code")]).select("address", "lg_code", "matched")
 
 
+@query(f"""WITH t AS (SELECT row_id, oaza_cho || chome AS key, {_KANA.replace('{{', '{').replace('}}', '}').replace('{c}', 'oaza_cho_kana')} AS kana FROM mt_town_all),
+  tt AS (SELECT DISTINCT key, kana, translate(kana, '{text._LOOSE_FROM}', '{text._LOOSE_TO}') AS loose FROM t),
+  e AS (SELECT entry_id, key, guard, {_KANA.replace('{{', '{').replace('}}', '}').replace('{c}', 'kana')} AS kana FROM dict_entry), ee AS (SELECT *, translate(kana, '{text._LOOSE_FROM}', '{text._LOOSE_TO}') AS loose FROM e),
+  x AS (SELECT tt.key AS tkey, tt.kana AS tkana, entry_id, CASE WHEN ee.key <> '' AND starts_with(tt.key, ee.key) AND NOT (coalesce(ee.guard = 'nodigit', false) AND regexp_matches(substr(tt.key, length(ee.key) + 1), '^[0-9]')) THEN 'key'
+    WHEN ee.kana <> '' AND tt.kana <> '' AND starts_with(tt.kana, ee.kana) THEN 'kana' WHEN ee.loose <> '' AND tt.loose <> '' AND starts_with(tt.loose, ee.loose) THEN 'loose' END AS axis, length(ee.key) AS lk, length(ee.kana) AS lr FROM tt, ee),
+  m AS (SELECT *, CASE axis WHEN 'key' THEN lk ELSE lr END AS matched, CASE axis WHEN 'key' THEN 3 WHEN 'kana' THEN 2 ELSE 1 END AS s FROM x WHERE axis IS NOT NULL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY tkey, tkana ORDER BY matched DESC, s DESC, entry_id) AS rn FROM m)
+  SELECT t.row_id, r.entry_id, r.axis, r.matched FROM t JOIN r ON r.tkey = t.key AND r.tkana IS NOT DISTINCT FROM t.kana AND rn = 1""")
+def longest_on_axes(spark, d):
+    t = table(spark, d, "mt_town_all").select("row_id", F.concat("oaza_cho", "chome").alias("key"), text.kana_key_of_nfkc(F.col("oaza_cho_kana")).alias("kana"))
+    e = table(spark, d, "dict_entry").select("entry_id", "key", text.kana_key_of_nfkc(F.col("kana")).alias("kana"), "guard")
+    return prefix.longest_on_axes(t, "row_id", e, "entry_id").select("row_id", "entry_id", "axis", "matched")
+
+
+@query()
+def fuzzy_towns(spark, d):
+    """Town names one edit away from the begin of a dictionary entry, the first letter included; no SQL, whose edit distance counts bytes."""
+    t = table(spark, d, "dict_entry").where("key is not null and code is not null").select(F.concat("key", F.lit("・"), "code").alias("x")).distinct()
+    k = table(spark, d, "mt_town_all").select(F.col("oaza_cho").alias("key")).distinct().withColumn("by", F.col("key"))
+    return prefix.fuzzy_prefix(t, "x", k, "by", limit=None).select("x", "key", "rest")
+
+
 @query("""WITH t AS (SELECT DISTINCT replace(p_name, 'i', 'e') || ' of ' || p_brand AS x FROM part), k AS (SELECT DISTINCT p_name AS k FROM part WHERE length(p_name) > 3),
   w AS (SELECT x, k, u FROM t, k, (SELECT unnest([-1, 0, 1]) AS dd) z, LATERAL (SELECT length(k) + dd AS u) WHERE NOT starts_with(x, k) AND u <= length(x) AND levenshtein(x[1:u], k) = 1 AND array_to_string(regexp_extract_all(x[1:u], '[0-9]+'), ',') = array_to_string(regexp_extract_all(k, '[0-9]+'), ',')),
   b AS (SELECT x, k, max(u) AS u FROM w GROUP BY x, k), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY length(k) DESC, k) AS fuzzy_rank FROM b)
@@ -382,7 +405,8 @@ def prefecture_boxes(spark, d):
 
 
 _POS = "(SELECT lg_code, machiaza_id, min(TRY_CAST(nullif(rep_lat, '') AS DOUBLE)) AS lat, min(TRY_CAST(nullif(rep_lon, '') AS DOUBLE)) AS lng FROM mt_town_pos GROUP BY ALL)"
-_HAV = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2))))"
+_HAV = ("CASE WHEN {a}lat + {a}lng + {b}lat + {b}lng IS NOT NULL THEN 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2)"
+        " + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2)))) END")
 
 
 def _pos(spark, d):
@@ -398,20 +422,22 @@ def town_gate(spark, d):
     return quality.town_gate(_pos(spark, d), table(spark, d, "city"))
 
 
-_OFF = "(SELECT sqrt(dlat * dlat + dlng * dlng) * 0.111 AS metres, code FROM rsdt_number WHERE dlat IS NOT NULL AND dlng IS NOT NULL)"
+_OFF = f"(SELECT {_HAV.format(a='a.', b='b.')} AS m FROM (SELECT lat, lng, lat + dlat / 1e6 AS lat2, lng + dlng / 1e6 AS lng2 FROM rsdt_number JOIN city USING (code) WHERE dlat IS NOT NULL AND dlng IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL) a)".replace("b.lat", "lat2").replace("b.lng", "lng2").replace("a.lat", "lat").replace("a.lng", "lng")
 
 
 def _offsets(spark, d):
-    n = table(spark, d, "rsdt_number").where("dlat is not null and dlng is not null")
-    return n.select((F.sqrt(F.col("dlat").cast("double") * F.col("dlat") + F.col("dlng").cast("double") * F.col("dlng")) * 0.111).alias("metres"), "code", "dlat", "dlng")
+    """Distances of the numbers from where their offset begins, here their municipality's position."""
+    c = table(spark, d, "city").where("lat is not null and lng is not null").select("code", "lat", "lng")
+    n = join_small(table(spark, d, "rsdt_number").where("dlat is not null and dlng is not null").select("code", "dlat", "dlng"), c, "code")
+    return n.select("code", geo.haversine_m(F.col("lat"), F.col("lng"), F.col("lat") + F.col("dlat") / 1e6, F.col("lng") + F.col("dlng") / 1e6).alias("metres"))
 
 
-@query("WITH d AS (SELECT sqrt(dlat::DOUBLE * dlat + dlng::DOUBLE * dlng) * 0.111 AS metres FROM rsdt_number WHERE dlat IS NOT NULL AND dlng IS NOT NULL) SELECT least(floor(metres / 5), 600)::BIGINT AS bucket, count(*) AS n FROM d GROUP BY 1")
+@query(f"SELECT least(floor(m / 5), 600)::BIGINT AS bucket, count(*) AS n FROM {_OFF} GROUP BY 1")
 def dist_histogram(spark, d):
     return stats.histogram(_offsets(spark, d), [], "metres", 5.0, 600)
 
 
-@query("""WITH d AS (SELECT sqrt(dlat::DOUBLE * dlat + dlng::DOUBLE * dlng) * 0.111 AS m FROM rsdt_number WHERE dlat IS NOT NULL AND dlng IS NOT NULL), h AS (SELECT least(floor(m / 5), 600)::BIGINT AS b, count(*) AS n FROM d GROUP BY 1),
+@query(f"""WITH d AS {_OFF}, h AS (SELECT least(floor(m / 5), 600)::BIGINT AS b, count(*) AS n FROM d GROUP BY 1),
   c AS (SELECT b, sum(n) OVER (ORDER BY b) AS c, sum(n) OVER () AS t FROM h) SELECT (SELECT count(*) FROM d) AS numbers, (SELECT round(max(m), 1) FROM d) AS max_m, (SELECT count_if(m > 500) FROM d) AS far, (SELECT count_if(m > 5000) FROM d) AS broken,
   min(CASE WHEN c >= t * 0.5 THEN b * 5.0 END)::DOUBLE AS median_m, min(CASE WHEN c >= t * 0.99 THEN b * 5.0 END)::DOUBLE AS p99_m, (SELECT count_if(m > 5000) = 0 FROM d) AS ok FROM c""")
 def number_gate(spark, d):
@@ -445,6 +471,65 @@ def coverage_by_group(spark, d):
     return out.select("side", "rank", "code", "total", "hits", "ratio")
 
 
+@query(f"""WITH x AS (SELECT p.lg_code, p.machiaza_id, {_HAV.format(a='p.', b='c.')} AS far FROM {_POS} p JOIN city c ON c.code = p.lg_code WHERE p.lat IS NOT NULL AND p.lng IS NOT NULL AND c.lat IS NOT NULL AND c.lng IS NOT NULL)
+  SELECT lg_code, round(max(far), 1) AS farthest_m, arg_min(machiaza_id, row(-far, machiaza_id)) AS farthest_town, count(*) AS n FROM x WHERE far > 60000 GROUP BY lg_code""")
+def far_by_city(spark, d):
+    return quality.far_by_city(_pos(spark, d), table(spark, d, "city"))
+
+
+_LOTS = "(SELECT code AS lg, machiaza_id, lat, lng, scale FROM parcel WHERE code IS NOT NULL AND lat BETWEEN 20 AND 46 AND lng BETWEEN 122 AND 154)"
+
+
+@query(f"""WITH p AS {_LOTS}, o AS (SELECT lg, machiaza_id, round(avg(lat), 6) AS olat, round(avg(lng), 6) AS olng FROM p GROUP BY ALL),
+  d AS (SELECT scale, {_HAV.format(a='p.', b='o.o')} AS m FROM p JOIN o USING (lg, machiaza_id)), h AS (SELECT least(floor(m / 20), 500)::BIGINT AS b, count(*) AS n FROM d GROUP BY 1), c AS (SELECT b, sum(n) OVER (ORDER BY b) AS c, sum(n) OVER () AS t FROM h)
+  SELECT (SELECT count(*) FROM d) AS lots, (SELECT round(100 * count_if(scale > 0 AND scale <= 500) / count(*), 4) FROM d) AS surveyed_pct, min(CASE WHEN c >= t * 0.5 THEN b * 20.0 END)::DOUBLE AS median_m, min(CASE WHEN c >= t * 0.99 THEN b * 20.0 END)::DOUBLE AS p99_m FROM c""")
+def parcel_gate(spark, d):
+    p = table(spark, d, "parcel").where(F.col("code").isNotNull() & geo.in_box(F.col("lat"), F.col("lng"))).select(F.col("code").alias("lg"), "machiaza_id", "lat", "lng", "scale")
+    return quality.parcel_gate(p)
+
+
+@query("""WITH x AS (SELECT match_level, """ + _HAV.format(a="k.", b="c.") + """ AS m FROM candidate k JOIN city c ON c.code = k.lg_code WHERE k.lat BETWEEN 20 AND 46 AND k.lng BETWEEN 122 AND 154),
+  s AS (SELECT match_level, m, row_number() OVER (PARTITION BY match_level ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY match_level) AS n FROM x WHERE m IS NOT NULL)
+  SELECT match_level, n, round(avg((m <= 10)::INT), 6) AS within_10, round(avg((m <= 50)::INT), 6) AS within_50, round(avg((m <= 100)::INT), 6) AS within_100, round(avg((m <= 500)::INT), 6) AS within_500,
+  round(max(CASE WHEN i = least(floor(n * 0.5)::BIGINT, n - 1) THEN m END), 3) AS p50, round(max(CASE WHEN i = least(floor(n * 0.9)::BIGINT, n - 1) THEN m END), 3) AS p90, round(max(CASE WHEN i = least(floor(n * 0.99)::BIGINT, n - 1) THEN m END), 3) AS p99 FROM s GROUP BY match_level, n""")
+def accuracy_audit(spark, d):
+    c = table(spark, d, "city").select(F.col("code").alias("lg_code"), F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"))
+    k = join_small(table(spark, d, "candidate").where(geo.in_box(F.col("lat"), F.col("lng"))), c, "lg_code")
+    x = k.select("match_level", geo.haversine_m(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng")).alias("metres"))
+    out = quality.accuracy_audit(x)
+    return out.select("match_level", "n", *(F.round(c, 6).alias(c) for c in ("within_10", "within_50", "within_100", "within_500")), *(F.round(c, 3).alias(c) for c in ("p50", "p90", "p99")))
+
+
+@query("""WITH t AS (SELECT DISTINCT lg_code AS code, machiaza_id FROM mt_town_all WHERE lg_code IS NOT NULL AND machiaza_id IS NOT NULL), n AS (SELECT DISTINCT code, machiaza_id FROM rsdt_number WHERE code IS NOT NULL AND machiaza_id IS NOT NULL), b AS (SELECT * FROM t INTERSECT SELECT * FROM n)
+  SELECT (SELECT count(*) FROM t) AS base, (SELECT count(*) FROM n) AS other, (SELECT count(*) FROM b) AS "both", round((SELECT count(*) FROM b) / (SELECT count(*) FROM t), 6) AS share""")
+def town_coverage(spark, d):
+    known = "code is not null and machiaza_id is not null"
+    t = table(spark, d, "mt_town_all").withColumnRenamed("lg_code", "code").where(known)
+    return quality.town_coverage(t, table(spark, d, "rsdt_number").where(known), ["code", "machiaza_id"]).withColumn("share", F.round("share", 6))
+
+
+@query("SELECT lg_code[1:2] AS pref, rsdt_addr_flg AS flag, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lg_code[1:2]), 6) AS rate FROM mt_town_all GROUP BY 1, 2")
+def flag_rates(spark, d):
+    return quality.flag_rates(table(spark, d, "mt_town_all"))
+
+
+@query("SELECT file_name AS file, count(*) AS rows FROM town_raw GROUP BY 1")
+def rows_per_file(spark, d):
+    return quality.rows_per_file(table(spark, d, "town_raw"))
+
+
+@query("SELECT DISTINCT split_part(path, '/', -1) AS name, max(committed_at)::VARCHAR AS modified FROM documents WHERE split_part(path, '/', -1) <> '' GROUP BY 1")
+def catalogue_dates(spark, d):
+    f = table(spark, d, "documents").select("path", F.date_format("committed_at", "yyyy-MM-dd HH:mm:ss").alias("modified"))
+    return quality.catalogued(f, f)
+
+
+@query("SELECT DISTINCT blk::VARCHAR AS blk FROM rsdt_number WHERE regexp_full_match(blk::VARCHAR, '[0-9]+')")
+def numeric_blocks(spark, d):
+    n = table(spark, d, "rsdt_number").select(F.col("blk").cast("string").alias("blk"))
+    return n.where(F.col("blk").rlike("^[0-9]+$")).distinct()
+
+
 @query("SELECT scale, count(*) AS n, CASE WHEN scale > 0 AND scale <= 500 THEN 'surveyed' ELSE 'legacy' END AS accuracy FROM parcel GROUP BY scale")
 def scale_counts(spark, d):
     return quality.scale_counts(table(spark, d, "parcel")).withColumn("accuracy", geo.accuracy_of_scale(F.col("scale")))
@@ -542,12 +627,12 @@ def rail_order(spark, d):
     return order.top_n(table(spark, d, "station"), ["line_code"], [F.asc("ord"), F.asc("code")], 1 << 30, "place").select("code", "place")
 
 
-_KNN = f"""WITH q AS (SELECT cand_id, lat, lng FROM candidate WHERE cand_rank = 1 AND lat IS NOT NULL AND lng IS NOT NULL), s AS (SELECT code, group_code, lat, lng, ord FROM station WHERE lat IS NOT NULL AND lng IS NOT NULL),
+_KNN = f"""WITH q AS (SELECT cand_id, lat, lng FROM candidate WHERE cand_id % 100 = 0 AND lat IS NOT NULL AND lng IS NOT NULL), s AS (SELECT code, group_code, lat, lng, ord FROM station WHERE lat IS NOT NULL AND lng IS NOT NULL),
   d AS (SELECT cand_id, s.code, s.group_code, s.ord, {_HAV.format(a='q.', b='s.')} AS m FROM q, s) """
 
 
 def _near(spark, d, **how):
-    q = table(spark, d, "candidate").where("cand_rank = 1").select("cand_id", "lat", "lng")
+    q = table(spark, d, "candidate").where("cand_id % 100 = 0").select("cand_id", "lat", "lng")  # the stated query set of a search
     out = nearest_stations(q, "cand_id", table(spark, d, "station"), **how)
     return out.select("cand_id", "rank", "code", F.round("distance_m", 3).alias("distance_m"))
 

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from azanami.functions import parse, text
+from azanami.functions import geo, parse, text
 from azanami.functions.names import expand_aliases, prefectures
 from azanami.plans.directory import resolve_prefs
 
@@ -145,3 +145,16 @@ def test_python_and_jvm_keys_agree(spark):
     values = ["".join(rnd.choice("霞ヶケがガカのノ之関國千十二〇三1０９ア ー-・,町ゕゖヵぁゐ澤") for _ in range(rnd.randint(0, 9))) for _ in range(400)] + [None, "", "ab, c"]
     for a, b in ((text.to_key, text.key_of_nfkc), (text.to_exact_key, text.exact_key_of_nfkc), (text.to_kana_key, text.kana_key_of_nfkc)):
         assert apply(spark, a, values) == apply(spark, lambda c, b=b: b(text.nfkc(c)), values)
+
+
+def test_old_letters_reach_the_letter_in_use():
+    # written out: one pair of each kind (old form, variant form, two old forms of one letter, beyond the basic plane)
+    pairs = "醫医 恆恒 從従 戰戦 釀醸 險険 驗験 栁柳 檜桧 邨村 嵜崎 﨑崎 淸清 靑青 步歩 狹狭 權権 假仮 遲遅 專専 邊辺 邉辺 髙高 𠮷吉 濱浜 濵浜 澤沢 齋斎 國国 圀国 龍竜 嶋島 嶌島 渕淵 冨富"
+    for pair in pairs.split():
+        assert text.key_text("北" + pair[0] + "町") == text.key_text("北" + pair[1] + "町") == "北" + pair[1] + "町"
+
+
+def test_distance_of_missing_points(spark):
+    df = spark.createDataFrame([(35.0, 139.0, None, 139.0), (35.0, 139.0, 35.0, 139.0), (0.0, 0.0, 0.0, 180.0)], "a double, b double, c double, d double")
+    got = [r.m for r in df.select(geo.haversine_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("m")).collect()]
+    assert got[:2] == [None, 0.0] and abs(got[2] - 6371000 * 3.141592653589793) < 1
