@@ -77,19 +77,62 @@ def longest_on_axes(texts: DataFrame, ident: str, keys: DataFrame, ord_: str) ->
     texts: ident, key, kana (a reading key or null).  keys: ord_, key, kana (a reading key or null), guard.  An entry is
     compared by its spelling, unless its guard forbids that by its reading, and last by its reading without voicing; ``rest`` is what
     the hit leaves of the text on its axis.  Null and empty texts and keys match nothing.
+
+    No dictionary goes through the driver, whatever its size.  Spellings and readings are searched once each, as distinct values cut at the
+    lengths that keys have.
+    A reading's entries are passed on as a list, since those that hit by spelling don't count by reading: a text begins with at most one key of
+    each length, guarded and not, so of all entries of a reading the first, one more than that, always hold the one that counts.
+    """
+    t = texts.select(F.col(ident).alias("_id"), F.nullif(F.col("key"), F.lit("")).alias("_key"), F.nullif(F.col("kana"), F.lit("")).alias("_kana"))
+    k = keys.select(F.col(ord_).alias("_ord"), F.nullif(F.col("key"), F.lit("")).alias("k_key"), F.nullif(F.col("kana"), F.lit("")).alias("k_kana"), F.when(F.col("guard") == "nodigit", F.col("guard")).alias("guard"))
+    long_key, long_kana = k.agg(F.sort_array(F.collect_set(F.length("k_key"))), F.sort_array(F.collect_set(F.length("k_kana")))).first()
+    spelt = _by_spelling(t.select("_key").distinct(), k, long_key)
+    read = _by_reading(t.select("_kana").distinct(), k, long_kana, 2 * len(long_key) + 1)
+
+    def hits(e: Column) -> Column:
+        key = e["k_key"]
+        return F.coalesce(F.startswith("_key", key) & unguarded(e["guard"], F.substring(F.col("_key"), F.length(key) + 1, F.length("_key"))), F.lit(False))
+
+    out = t.join(spelt, "_key", "left").join(read, "_kana", "left").withColumn("_r", F.get(F.filter("_entries", lambda e: ~hits(e)), F.lit(0)))
+    by_key = F.col("_long").isNotNull() & (F.col("_r").isNull() | (F.col("_long") >= -F.col("_r.shorter")))
+    out = out.withColumn("axis", F.when(by_key, "key").when(F.col("_r").isNotNull(), F.when(F.col("_r.loose"), "loose").otherwise("kana"))).where("axis is not null")
+    out = out.withColumn("matched", F.when(F.col("axis") == "key", F.col("_long")).otherwise(-F.col("_r.shorter")))
+    out = out.withColumn("_text", F.when(F.col("axis") == "key", F.col("_key")).when(F.col("axis") == "kana", F.col("_kana")).otherwise(loosen(F.col("_kana"))))
+    score = F.when(F.col("axis") == "key", AXES["key"]).when(F.col("axis") == "kana", AXES["kana"]).otherwise(AXES["loose"])
+    rest = F.substring(F.col("_text"), F.col("matched") + 1, F.length("_text"))
+    entry = F.when(F.col("axis") == "key", F.col("_first")).otherwise(F.col("_r._ord"))
+    return out.select(F.col("_id").alias(ident), entry.alias(ord_), "axis", score.alias("score"), "matched", rest.alias("rest"))
+
+
+def _heads(text: str, lengths: list[int]) -> Column:
+    """The text's prefixes of the given lengths."""
+    fit = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(text))
+    return F.transform(fit, lambda n: F.substring(F.col(text), F.lit(1), n))
+
+
+def _by_spelling(texts: DataFrame, keys: DataFrame, lengths: list[int]) -> DataFrame:
+    """(_key, _long, _first): the length of the longest key that a text begins with, and its first entry whose guard allows it."""
+    held, named = F.col("guard").isNotNull(), keys.where("k_key is not null")
+    named = named.groupBy("k_key").agg(F.min(F.when(~held, F.col("_ord"))).alias("_free"), F.min(F.when(held, F.col("_ord"))).alias("_held"), F.max(~held).alias("_any"))
+    h = texts.select("_key", F.explode(_heads("_key", lengths)).alias("k_key")).join(named.hint("merge"), "k_key").withColumn("_n", F.length("k_key"))
+    digit = F.substring(F.col("_key"), F.col("_n") + 1, F.length("_key")).rlike("^[0-9]")
+    h = h.where(F.col("_any") | ~digit).withColumn("_o", F.when(digit, F.col("_free")).otherwise(F.least("_free", "_held")))
+    return h.groupBy("_key").agg(F.max("_n").alias("_long"), F.max_by("_o", "_n").alias("_first"))
+
+
+def _by_reading(texts: DataFrame, keys: DataFrame, lengths: list[int], most: int) -> DataFrame:
+    """(_kana, _entries): entries (shorter, loose, last, _ord, k_key, guard) by whose reading a text's reading begins, the best first, up to ``most`` of each reading.
+
+    ``shorter`` is the length below zero, ``last`` puts entries without an ord_ behind the others.
     """
-    t = texts.select(F.col(ident).alias("_id"), F.col("key").alias("_key"), F.col("kana").alias("_kana"), loosen(F.col("kana")).alias("_loose"))
-    k = keys.select(F.col(ord_).alias("_ord"), F.col("key").alias("k_key"), F.col("kana").alias("k_kana"), loosen(F.col("kana")).alias("k_loose"), "guard")
-    out = None
-    for axis, score in AXES.items():
-        h = prefix_hits(t.select("_id", f"_{axis}"), f"_{axis}", k.select("_ord", f"k_{axis}", "guard"), f"k_{axis}")
-        if axis == "key":
-            h = h.where(unguarded(F.col("guard"), F.col("rest")))
-        h = h.select("_id", "_ord", F.lit(axis).alias("axis"), F.lit(score).alias("score"), "matched", "rest")
-        out = h if out is None else out.unionByName(h)
-    per_entry = out.groupBy("_id", "_ord").agg(F.max_by(F.struct("axis", "score", "matched", "rest"), "score").alias("h")).select("_id", "_ord", "h.*")
-    best = per_entry.groupBy("_id").agg(F.max_by(F.struct("_ord", "axis", "score", "matched", "rest"), F.struct("matched", "score", -F.col("_ord"))).alias("b"))
-    return best.select(F.col("_id").alias(ident), F.col("b._ord").alias(ord_), "b.axis", "b.score", "b.matched", "b.rest")
+    e = keys.where("k_kana is not null").groupBy("k_kana", "k_key", "guard").agg(F.min("_ord").alias("_ord"))
+    w = Window.partitionBy("k_kana").orderBy(F.asc_nulls_last("_ord"))
+    e = e.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
+    e = e.groupBy("k_kana").agg(F.collect_list(F.struct("_ord", "k_key", "guard")).alias("_of")).withColumn("_loose", loosen(F.col("k_kana")))
+    h = texts.select("_kana", F.explode(_heads("_kana", lengths)).alias("_head")).withColumn("_loose", loosen(F.col("_head"))).join(e.hint("merge"), "_loose")
+    shorter, loose = -F.length("_head"), F.col("_head") != F.col("k_kana")
+    of = F.transform("_of", lambda x: F.struct(shorter.alias("shorter"), loose.alias("loose"), x["_ord"].isNull().alias("last"), x["_ord"].alias("_ord"), x["k_key"].alias("k_key"), x["guard"].alias("guard")))
+    return h.select("_kana", of.alias("_of")).groupBy("_kana").agg(F.sort_array(F.flatten(F.collect_list("_of"))).alias("_entries"))
 
 
 def fuzzy_prefix(texts: DataFrame, text: str, keys: DataFrame, ord_: str, limit: int | None = 5, key: str = "key", partition: list[str] | None = None, same_first: bool = False) -> DataFrame:

@@ -123,6 +123,63 @@ def test_guard(spark):
     assert got == {"太子堂50番地": "太子堂", "太子堂5-1": "太子堂5"}
 
 
+def axes_brute(texts, keys):
+    """The best entry by axis of each text: what the SQL of longest_on_axes says, row by row."""
+    def low(x):
+        return x and x.replace("が", "か").replace("だ", "た")
+    want = {}
+    for i, tk, tr in texts:
+        best = None
+        for o, k, r, g in keys:
+            if k and tk and tk.startswith(k) and not (g == "nodigit" and tk[len(k):][:1].isdigit()):
+                hit = (len(k), 3, "key", tk[len(k):])
+            elif r and tr and tr.startswith(r):
+                hit = (len(r), 2, "kana", tr[len(r):])
+            elif r and tr and low(tr).startswith(low(r)):
+                hit = (len(r), 1, "loose", low(tr)[len(r):])
+            else:
+                continue
+            if best is None or (hit[:2], o is not None, -(o or 0)) > (best[1][:2], best[0] is not None, -(best[0] or 0)):
+                best = (o, hit)
+        if best:
+            want[i] = (best[0], best[1][2], best[1][0], best[1][3])
+    return want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_longest_on_axes(spark, seed):
+    rnd = random.Random(seed)
+    some = lambda letters, low, high: rnd.choice([None, "", *["".join(rnd.choice(letters) for _ in range(rnd.randint(low, high))) for _ in range(12)]])
+    # Few readings with many entries each, most of which hit by spelling too; entries without an id; equal entries.
+    keys = [(rnd.choice([None, *range(900)]) if rnd.random() < 0.1 else 1000 - j, some("町1", 1, 4), some("かがた", 1, 3), rnd.choice([None, "nodigit", "other"])) for j in range(120 if seed < 3 else 12)]
+    texts = [(i, some("町12", 0, 6), some("かがただ", 0, 5)) for i in range(300)]
+    t = spark.createDataFrame(texts, "id long, key string, kana string")
+    k = spark.createDataFrame(keys + keys[:20], "o long, key string, kana string, guard string")
+    got = prefix.longest_on_axes(t, "id", k, "o").collect()
+    assert {r.id: (r.o, r.axis, r.matched, r.rest) for r in got} == axes_brute(texts, keys) and len(got) == len({r.id for r in got})
+    assert {(r.axis, r.score) for r in got} <= set(prefix.AXES.items())
+    assert prefix.longest_on_axes(t, "id", k.limit(0), "o").count() == 0
+
+
+def test_longest_on_axes_sends_no_dictionary(spark, tmp_path):
+    """Neither a dictionary nor cut texts are broadcast, which Spark takes for as small as their files; entries of one reading don't multiply its texts."""
+    t = spark.createDataFrame([(i, f"町{i}", "かた") for i in range(200)], "id long, key string, kana string")
+    k = spark.createDataFrame([(i, f"字{i}", "か", None) for i in range(300)], "o long, key string, kana string, guard string")
+    t.write.parquet(f"{tmp_path}/t")
+    k.write.parquet(f"{tmp_path}/k")
+    t, k = spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/k")
+    plan = prefix.longest_on_axes(t, "id", k, "o")._jdf.queryExecution().sparkPlan().toString()
+    assert [plan.count(f"SortMergeJoin [{c}#") for c in ("k_key", "_loose")] == [1, 1]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = prefix.longest_on_axes(t, "id", k, "o")
+        assert {(r.o, r.axis, r.matched) for r in out.collect()} == {(0, "kana", 1)} and out.count() == 200
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
